@@ -15,7 +15,7 @@ BROADCAST_ROWS = 500_000
 def get_session(app: str = "talverk", cpus: int | None = None) -> SparkSession:
     """A local session for tests and benches; on a cluster the submitter's session is used as it is."""
     cpus = cpus or os.cpu_count() or 4
-    return (
+    spark = (
         SparkSession.builder.appName(app)
         .master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -27,6 +27,16 @@ def get_session(app: str = "talverk", cpus: int | None = None) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    let_workers_import(spark)
+    return spark
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Put the folder of this package on the path of Python workers, whatever folder the driver was started in."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    if here not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH", ""), here]))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
