@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talverk.llm import splitting, tokenizer
+from talverk.llm import contamination, splitting, tokenizer
 from talverk.sources.tables import table
 
 
@@ -14,6 +14,16 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item with at least 13 words in a row in common, and how much of the item it holds."""
+    return contamination.leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text", 13)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold a passage of a benchmark item, with the items."""
+    return p8_leaks(spark, folder).select("doc_id", "item_id")
+
+
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of each document above 1,024 tokens."""
     return splitting.split_oversized(table(spark, folder, "documents"), "doc_id", "text", 1024, 64)
@@ -24,5 +34,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_pieces(spark, folder).where("piece = 0").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}
