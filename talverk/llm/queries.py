@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talverk.llm import contamination, splitting, tokenizer
+from talverk.llm import contamination, sentences, splitting, tokenizer
 from talverk.sources.tables import table
 
 
+def sentence_model(speeches: DataFrame) -> sentences.Model:
+    """A model of sentence boundaries from a bounded sample of the segments of digital speeches of each language."""
+    segments = speeches.where("capture = 'digital'").select("u_id", "lang", F.explode("text").alias("segment"))
+    return sentences.train(sentences.sample_texts(segments, "u_id", "segment", "lang"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of the segments of digital speeches, by its end."""
+    speeches = table(spark, folder, "speech_index")
+    model = sentence_model(speeches)
+    return sentences.sentence_ends(speeches.where("capture = 'digital'"), "u_id", "text", "loaded_at", model)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.token_ids(table(spark, folder, "documents"), "doc_id", "text")
@@ -34,5 +47,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_pieces(spark, folder).where("piece = 0").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}
