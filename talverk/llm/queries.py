@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talverk.llm import contamination, sentences, splitting, tokenizer
+from talverk.llm import contamination, readability, sentences, splitting, tokenizer
+from talverk.operators.latest import latest_rows
 from talverk.sources.tables import table
 
 
+def p2_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading level of every digital Swedish speech, with its number of words and the figures behind the level."""
+    speeches = table(spark, folder, "speech_index")
+    own = latest_rows(speeches.where("lang = 'sv' and capture = 'digital'").select("u_id", "loaded_at", "text"), "u_id", "loaded_at")
+    labels = table(spark, folder, "reading_label").select("u_id", "level")
+    return readability.reading_levels(own, "u_id", "text", labels, "level", sentence_model(speeches))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The most demanding digital Swedish speeches of at least 40 words."""
+    return p2_levels(spark, folder).where("words >= 40 and level = 5").select("u_id")
+
+
 def sentence_model(speeches: DataFrame) -> sentences.Model:
     """A model of sentence boundaries from a bounded sample of the segments of digital speeches of each language."""
     segments = speeches.where("capture = 'digital'").select("u_id", "lang", F.explode("text").alias("segment"))
@@ -47,5 +61,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_pieces(spark, folder).where("piece = 0").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_levels, p3_found, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}
