@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talverk.llm import contamination, readability, sentences, splitting, tokenizer
+from talverk.llm import contamination, readability, scans, sentences, splitting, tokenizer
 from talverk.operators.latest import latest_rows
 from talverk.sources.tables import table
 
@@ -36,6 +36,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_ends(speeches.where("capture = 'digital'"), "u_id", "text", "loaded_at", model)
 
 
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments of scanned speeches as continuous text, with what was wrong with their lines."""
+    speeches = table(spark, folder, "speech_index").select("u_id", "loaded_at", "text", "capture")
+    scanned = latest_rows(speeches.where("capture = 'scan'").select("u_id", "loaded_at", "text"), "u_id", "loaded_at")
+    reference = speeches.where("capture = 'digital'").select(F.array_join("text", "\n").alias("text"))
+    return scans.read_scans(scanned, "u_id", "text", reference, "text", table(spark, folder, "scan_sample"), "raw", "repaired")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of scanned speeches that are furniture, end in a broken word or hold a misread word."""
+    return p6_repaired(spark, folder).select("u_id", "seg", F.explode("kinds").alias("k")).select("u_id", "seg", "k.line_no", "k.kind")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.token_ids(table(spark, folder, "documents"), "doc_id", "text")
@@ -61,5 +74,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_pieces(spark, folder).where("piece = 0").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_levels, p3_found, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_levels, p3_found, p6_found, p6_repaired, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}
