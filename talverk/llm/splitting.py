@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talverk.llm.tokenizer import BYTE_BPE_50K, TOKENIZERS, encoder
 
-#: The separators of each level, coarse to fine. A cut lies at the end of a match, before the white space that follows.
+#: The separators of each level, coarse to fine. A cut lies at the end of the group that matched, before white space.
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
 _ENDS = (
-    regex.compile(r"\S(?=\s*\f)|\S(?=(?:[^\S\n]*\n){3})|\S(?=\s*\n[^\S\n]*(?:#{1,6} |§ ?\d))"),
-    regex.compile(r"\S(?=[^\S\n]*\n[^\S\n]*\n)"),
-    regex.compile(r"[.!?…؟۔।॥]+[\p{Pe}\p{Pf}\p{Pi}\"']*(?=\s)|[。！？]+[\p{Pe}\p{Pf}\p{Pi}]*|\S(?=[^\S\n]*\n)|(?<=\p{Script=Thai})(?= )"),
-    regex.compile(r"\S(?=\s)|[、，；：,;]"),
+    re.compile(r"()\s*\f|()[^\S\n]*\n[^\S\n]*\n[^\S\n]*\n|()\n[^\S\n]*(?=#{1,6} |§ ?\d)"),
+    re.compile(r"()[^\S\n]*\n[^\S\n]*\n"),
+    re.compile(r"([.!?…؟۔।॥]+[)\]}»«”“’\"']*)(?=\s)|([。！？]+[）」』】”’]*)|()[^\S\n]*\n|(?<=[฀-๿])() "),
+    re.compile(r"()\s+|([、，；：])"),
 )
 _SPLITS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("char_begin", pa.int32()), ("char_end", pa.int32()), ("cut", pa.string())]))
 
@@ -49,7 +49,7 @@ class Splitter:
             if level == len(LEVELS) - 1:
                 return (np.flatnonzero(clean[begin + 1 : end]) + begin + 1).tolist()
             lo, hi = int(at_char[begin]), int(at_char[end])
-            where = np.array([m.end() for m in _ENDS[level].finditer(text, lo, hi)], np.int64)
+            where = np.array([m.end(m.lastindex) for m in _ENDS[level].finditer(text, lo, hi)], np.int64)
             k = np.searchsorted(at_char, where)
             k = k[(k > begin) & (k < end)]
             return np.unique(k[np.isin(at_char[k], where) & clean[k]]).tolist()
