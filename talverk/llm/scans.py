@@ -153,6 +153,13 @@ def line_features(lines: list[str], k: int, lexicon: Lexicon, patterns: dict[str
     ]
 
 
+def _goes_on(line: str) -> bool:
+    """A line that can only be the rest of a sentence: it closes a bracket, or begins small or with a number and ends with a mark or is one word."""
+    if line.count(")") > line.count("("):
+        return True
+    return (line[0].islower() or line[0].isdigit()) and (line[-1] in ".!?,;:" or (line[0].islower() and not any(c.isdigit() for c in line)))
+
+
 def sample_lines(raw: str, repaired: str) -> tuple[list[str], list[bool | None]]:
     """The lines of a sample, and of each whether it is furniture (None for a blank one): most of it isn't in the repaired text."""
     lines = raw.split("\n")
@@ -194,7 +201,7 @@ class Reader:
     def furniture(self, lines: list[str]) -> set[int]:
         if len(self.weights) == 1:
             return set()
-        there = [k for k, line in enumerate(lines) if line.strip()]
+        there = [k for k, line in enumerate(lines) if line.strip() and not _goes_on(line.strip())]
         x = np.array([line_features(lines, k, self.lexicon, self.patterns) for k in there])
         return {k for k, score in zip(there, x @ self.weights) if score > 0} if there else set()
 
@@ -205,46 +212,59 @@ class Reader:
         out = self.furniture(lines)
         kinds = {(k, "furniture") for k in out}
         speech = [k for k, line in enumerate(lines) if k not in out and line.strip()]
-        # words with the line of each of their characters; a broken word is made whole
-        tokens: list[tuple[str, list[int]]] = []
-        held: tuple[str, list[int]] | None = None
+        # words with their line; a broken word is made whole and has the line of each of its parts, with where they end
+        tokens: list[str] = []
+        places: list[int | list[tuple[int, int]]] = []
+        held, parts = "", []
         for n, k in enumerate(speech):
             words = lines[k].split()
-            following = lines[speech[n + 1]].split()[0] if n + 1 < len(speech) else ""
-            for j, word in enumerate(words):
-                places = [k] * len(word)
+            following = lines[speech[n + 1]].split(None, 1)[0] if n + 1 < len(speech) else ""
+            last = words[-1]
+            broken = bool(following) and len(last) > 1 and last[-1] in BREAKS and (last[-2].isalpha() or last[-2] in "|&ſ016")
+            if broken:
+                own = last[-1] in HYPHENS and (following.lower() in COORDINATING or following[0].isupper())
+                broken = not own and (following[0].isalpha() or following[0] in "|&ſ0156")
+            if held:
+                words[0] = held + words[0]
+            for word in words[:-1] if broken else words:
+                tokens.append(word)
                 if held:
-                    word, places, held = held[0] + word, held[1] + places, None
-                if j == len(words) - 1 and following and len(word) > 1 and word[-1] in BREAKS and (word[-2].isalpha() or word[-2] in "|&ſ016"):
-                    own = word[-1] in HYPHENS and (following.lower() in COORDINATING or following[0].isupper())
-                    if not own and (following[0].isalpha() or following[0] in "|&ſ0156"):
-                        kinds.add((k, "split"))
-                        held = word[:-1], places[:-1]
-                        continue
-                tokens.append((word, places))
-        if held:
-            tokens.append(held)
+                    places.append([*parts, (k, len(word))])
+                    held, parts = "", []
+                else:
+                    places.append(k)
+            if broken:
+                kinds.add((k, "split"))
+                held = words[-1][:-1]
+                parts = [*parts, (k, len(held))] if len(words) == 1 else [(k, len(held))]
         mended: list[str] = []
         k = 0
-        cores = [w.strip(_EDGES).lower() for w, _ in tokens]
+        known = self.lexicon.words
+        cores = [w.strip(_EDGES).lower() for w in tokens]
+        line_at = lambda t, at: places[t] if isinstance(places[t], int) else next((line for line, end in places[t] if at < end), places[t][-1][0])
         while k < len(tokens):
+            core = cores[k]
+            if len(core) > 1 and core in known:
+                mended.append(tokens[k])
+                k += 1
+                continue
             j = k  # a word whose letters stand apart
             while j < len(tokens) and len(cores[j]) == 1 and cores[j].isalpha():
                 j += 1
             if j - k >= 3:
-                kinds.update((places[0], "misread") for _, places in tokens[k:j])
-                mended.append("".join(w for w, _ in tokens[k:j]))
+                kinds.update((line_at(t, 0), "misread") for t in range(k, j))
+                mended.append("".join(tokens[k:j]))
                 k = j
                 continue
-            word, places = tokens[k]
-            found = self.misread(cores[k], cores[max(0, k - WINDOW) : k] + cores[k + 1 : k + 1 + WINDOW])
+            word = tokens[k]
+            found = self.misread(core, cores[max(0, k - WINDOW) : k] + cores[k + 1 : k + 1 + WINDOW])
             if found:
                 better, place = found
-                begin = word.lower().find(cores[k])
-                kinds.add((places[min(begin + place, len(places) - 1)], "misread"))
-                inner = word[begin : begin + len(cores[k])]
+                begin = word.lower().find(core)
+                kinds.add((line_at(k, begin + place), "misread"))
+                inner = word[begin : begin + len(core)]
                 better = better.upper() if inner.isupper() and len(inner) > 1 else better[:1].upper() + better[1:] if inner[:1].isupper() else better
-                word = word[:begin] + better + word[begin + len(cores[k]) :]
+                word = word[:begin] + better + word[begin + len(core) :]
             mended.append(word)
             k += 1
         return sorted(kinds), " ".join(mended)
