@@ -24,6 +24,8 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talverk.session import written
+
 #: A word or odd token of the lexicon makes up at least this share of the tokens of the reference.
 WORD_SHARE = 5e-6
 #: A known pattern of lines occurs in at least this share of the scanned segments.
@@ -33,6 +35,8 @@ SAMPLES = 500
 #: Parts of compounds begin or end at least this many words of the lexicon.
 PART = 4
 SIZE, WINDOW = 16, 2
+#: A longer run of characters is no word and stays as it is.
+LONGEST = 120
 
 # fixed values: what is read, and what may stand in print
 GLYPHS = (
@@ -51,8 +55,8 @@ _INTRUDERS = re.compile(r"[.,;'’:`·]+")
 _ODD = re.compile(r"(?<=[^\W\d_])[.,;'’:`·|&\d!ſ]+(?=[^\W\d_])|ſ|\A[|&\d](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[|&\d]\Z")
 _ABBREVIATION = re.compile(r"(?:[^\W\d_]{1,4}[.:])+[^\W\d_]{0,4}\Z")
 _NUMBER = re.compile(r"[\d.,:/*§–%-]+\Z")
-#: Tokens of the reference: words, also with marks within.
-_TOKEN = r"[\\p{L}\\p{N}]+(?:[.,:;’''·-]+[\\p{L}\\p{N}]+)*"
+#: Tokens of the reference: words, also with marks within (at most eight times, as Java's matcher recurs for each).
+_TOKEN = r"[\\p{L}\\p{N}]+(?:[.,:;’''·-][\\p{L}\\p{N}]+){0,8}"
 
 
 def line_pattern(line: str) -> str:
@@ -272,7 +276,7 @@ class Reader:
     def misread(self, core: str, near: list[str]) -> tuple[str, int] | None:
         """The right form of a word in small letters and the place where it was misread; None if it is right or beyond mending."""
         lexicon = self.lexicon
-        if len(core) < 2 or core in lexicon.words or core in lexicon.odd or _NUMBER.match(core):
+        if not 2 <= len(core) <= LONGEST or core in lexicon.words or core in lexicon.odd or _NUMBER.match(core):
             return None
         if core.replace("-", "").replace("‐", "").isalpha() and "ſ" not in core:
             begin = 0
@@ -308,7 +312,7 @@ def _tokens(texts: DataFrame, text: str) -> DataFrame:
 
 def learn_lexicon(reference: DataFrame, text: str, share: float = WORD_SHARE, partitions: int = 8) -> Lexicon:
     """Counts of all tokens of the reference, and skip-gram vectors of those that make up at least `share`."""
-    tokens = _tokens(reference, text)
+    tokens = written(_tokens(reference, text))  # read by the count, by the vocabulary and by the training
     counted = tokens.select(F.explode("tokens").alias("token")).groupBy("token").count().persist()
     total = counted.agg(F.sum("count")).first()[0] or 0
     least = max(1, math.ceil(share * total))
@@ -331,6 +335,7 @@ def learn_patterns(segments: DataFrame, text: str, share: float = LINE_SHARE) ->
     number = segments.count()
     # furniture is short, and most lines of speech are unique: only patterns that recur come back
     lines = segments.select(F.explode(F.split(text, "\n")).alias("line")).where(F.trim("line") != "")
+    lines = lines.where(~F.col("line").rlike(r"^\s*\p{Ll}[^0-9]*$"))  # the rest of a sentence, see _goes_on
     masked = lines.groupBy(F.regexp_replace(F.trim(F.regexp_replace("line", r"\s+", " ")), "[0-9]+", "9").alias("line")).count()
     counted = masked.select(pattern("line").alias("pattern"), "count").groupBy("pattern").agg(F.sum("count").alias("n"))
     return {r[0]: r[1] / number for r in counted.where(F.col("n") >= max(2, share * number)).collect()}
