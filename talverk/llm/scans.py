@@ -184,9 +184,9 @@ def train_lines(samples: list[tuple[str, str]], lexicon: Lexicon, patterns: dict
             if kind is not None:
                 x.append(line_features(lines, k, lexicon, patterns))
                 y.append(float(kind))
-    features, target = np.array(x).reshape(len(x), -1), np.array(y)
-    if not len(y) or target.min() == target.max():
+    if len(set(y)) < 2:
         return np.array([-1.0])
+    features, target = np.array(x), np.array(y)
     w = np.zeros(features.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
@@ -257,22 +257,30 @@ class Reader:
                 j += 1
             if j - k >= 3:
                 kinds.update((line_at(t, 0), "misread") for t in range(k, j))
-                mended.append("".join(tokens[k:j]))
+                word = "".join(tokens[k:j])
+                core = word.strip(_EDGES).lower()
+                mended.append(self.mended(word, core, self.misread(core, cores[max(0, k - WINDOW) : k] + cores[j : j + WINDOW])))
                 k = j
                 continue
             word = tokens[k]
             found = self.misread(core, cores[max(0, k - WINDOW) : k] + cores[k + 1 : k + 1 + WINDOW])
             if found:
-                better, place = found
-                begin = word.lower().find(core)
-                kinds.add((line_at(k, begin + place), "misread"))
-                inner = word[begin : begin + len(core)]
-                better = better.upper() if inner.isupper() and len(inner) > 1 else better[:1].upper() + better[1:] if inner[:1].isupper() else better
-                word = word[:begin] + better + word[begin + len(core) :]
+                kinds.add((line_at(k, word.lower().find(core) + found[1]), "misread"))
+                word = self.mended(word, core, found)
             mended.append(word)
             k += 1
         return sorted(kinds), " ".join(mended)
 
+    @staticmethod
+    def mended(word: str, core: str, found: tuple[str, int] | None) -> str:
+        """The word with the right form in place of its core, large letters as they were."""
+        if not found:
+            return word
+        begin = word.lower().find(core)
+        inner, better = word[begin : begin + len(core)], found[0]
+        better = better.upper() if inner.isupper() and len(inner) > 1 else better[:1].upper() + better[1:] if inner[:1].isupper() else better
+        return word[:begin] + better + word[begin + len(core) :]
+
     def misread(self, core: str, near: list[str]) -> tuple[str, int] | None:
         """The right form of a word in small letters and the place where it was misread; None if it is right or beyond mending."""
         lexicon = self.lexicon
