@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from talverk.llm import contamination, readability, scans, sentences, splitting, tokenizer
 from talverk.operators.latest import latest_rows
-from talverk.sources.tables import table
+from talverk.sources.tables import spread, table
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def p2_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Reading level of every digital Swedish speech, with its number of words and the figures behind the level."""
     speeches = table(spark, folder, "speech_index")
-    own = latest_rows(speeches.where("lang = 'sv' and capture = 'digital'").select("u_id", "loaded_at", "text"), "u_id", "loaded_at")
+    rows = speeches.where("lang = 'sv' and capture = 'digital'").select("u_id", "loaded_at", "text")
+    own = latest_rows(rows, "u_id", "loaded_at", spread(rows))
     labels = table(spark, folder, "reading_label").select("u_id", "level")
     return readability.reading_levels(own, "u_id", "text", labels, "level", sentence_model(speeches))
 
@@ -33,14 +38,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence of the segments of digital speeches, by its end."""
     speeches = table(spark, folder, "speech_index")
     model = sentence_model(speeches)
-    return sentences.sentence_ends(speeches.where("capture = 'digital'"), "u_id", "text", "loaded_at", model)
+    return sentences.sentence_ends(spread(speeches.where("capture = 'digital'").select("u_id", "text", "loaded_at")), "u_id", "text", "loaded_at", model)
 
 
 def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """The segments of scanned speeches as continuous text, with what was wrong with their lines."""
     speeches = table(spark, folder, "speech_index").select("u_id", "loaded_at", "text", "capture")
-    scanned = latest_rows(speeches.where("capture = 'scan'").select("u_id", "loaded_at", "text"), "u_id", "loaded_at")
-    reference = speeches.where("capture = 'digital'").select(F.array_join("text", "\n").alias("text"))
+    rows = speeches.where("capture = 'scan'").select("u_id", "loaded_at", "text")
+    scanned = latest_rows(rows, "u_id", "loaded_at", spread(rows))
+    reference = spread(speeches.where("capture = 'digital'").select(F.array_join("text", "\n").alias("text")))
     return scans.read_scans(scanned, "u_id", "text", reference, "text", table(spark, folder, "scan_sample"), "raw", "repaired")
 
 
@@ -51,12 +57,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return tokenizer.token_ids(table(spark, folder, "documents"), "doc_id", "text")
+    return tokenizer.token_ids(documents(spark, folder), "doc_id", "text")
 
 
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and benchmark item with at least 13 words in a row in common, and how much of the item it holds."""
-    return contamination.leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text", 13)
+    return contamination.leaked_items(documents(spark, folder), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text", 13)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +72,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of each document above 1,024 tokens."""
-    return splitting.split_oversized(table(spark, folder, "documents"), "doc_id", "text", 1024, 64)
+    return splitting.split_oversized(documents(spark, folder), "doc_id", "text", 1024, 64)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
