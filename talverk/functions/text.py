@@ -41,8 +41,13 @@ def token_count(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words joined by spaces, in order, repeated ones repeated; empty for fewer words."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, all_).otherwise(F.array().cast("array<string>"))
+
+    # the words are a variable of the outer function, else they would be made anew for each run
+    return F.flatten(F.transform(F.array(words), runs))
 
 
 def ttr(words: Column, sentinel: float | None = None) -> Column:

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from talverk.session import broadcast_if_small
 
 
-def latest_rows(df: DataFrame, key: str, version: str) -> DataFrame:
+def latest_rows(df: DataFrame, key: str, version: str, spread: DataFrame | None = None) -> DataFrame:
     """df with one row for each key, the one with the latest version; rows with a null key are left out.
 
     Only rows whose key is repeated are grouped; the others stay where they are as long as the repeated keys are few
     enough to broadcast (checked), and are joined by a shuffle beyond that. Of rows with the same key and version the one
-    with the largest values is kept. Columns must be orderable.
+    with the largest values is kept. Columns must be orderable. `spread` may hold the same rows over more tasks; they are
+    then taken from it, while the keys are still counted on df.
     """
     rows = df.where(F.col(key).isNotNull())
     repeated = broadcast_if_small(rows.groupBy(key).count().where("count > 1").select(F.col(key).alias("_repeated")))
+    if spread is not None:
+        rows = spread.where(F.col(key).isNotNull())
     once = rows.join(repeated, rows[key] == F.col("_repeated"), "left_anti")
     others = [c for c in df.columns if c not in (key, version)]
     many = rows.join(repeated, rows[key] == F.col("_repeated"), "left_semi").groupBy(key).agg(F.max(F.struct(version, *others)).alias("_row"))

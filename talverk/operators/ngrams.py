@@ -36,8 +36,22 @@ def allowed(runs: DataFrame, least: int) -> DataFrame:
 def document_counts(runs: DataFrame, key: str, least: int) -> DataFrame:
     """(key, ngram, cnt) of the allowed n-grams: the sparse document matrix in long form."""
     counts = runs.groupBy(key, "ngram").agg(F.count("*").alias("cnt"))
-    total = Window.partitionBy("ngram")
-    return counts.withColumn("_all", F.sum("cnt").over(total)).where(F.col("_all") >= least).drop("_all")
+    frequent = counts.groupBy("ngram").agg(F.sum("cnt").alias("_all")).where(F.col("_all") >= least)  # on the same exchange
+    return counts.join(frequent, "ngram", "left_semi").select(key, "ngram", "cnt")
+
+
+def totals_differ(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(ngram, in_corpus, in_documents) of the n-grams whose counts in documents don't add up to that in the corpus: none, if all is well."""
+    corpus = runs.groupBy("ngram").agg(F.count("*").alias("in_corpus"))
+    documents = counts.groupBy("ngram").agg(F.sum("cnt").alias("in_documents"))
+    return documents.join(corpus, "ngram", "left").where(~F.col("in_corpus").eqNullSafe(F.col("in_documents")))
+
+
+def group_usages(runs: DataFrame, group: str, least: int) -> DataFrame:
+    """(group, ngram, uses, share): how often each group uses each allowed n-gram, and its share of all uses."""
+    raw = runs.where(F.col(group).isNotNull()).groupBy(group, "ngram").agg(F.count("*").alias("uses"))
+    total = F.sum("uses").over(Window.partitionBy("ngram"))
+    return raw.withColumn("_all", total).where(F.col("_all") >= least).withColumn("share", F.col("uses") / F.col("_all")).drop("_all")
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:

@@ -154,6 +154,26 @@ def approx_age(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("u_id", F.round(X.approximate_age(F.col("day"), F.col("born")), 6).alias("age"))
 
 
+@query(S + ", p as (select wiki_id, min(try_cast(case when length(born) = 4 then born || '-01-01' when length(born) = 7 then born || '-01' else born end as date)) as born from person group by wiki_id) select year, party_abbrev, round(avg((day - born) / 365.2425), 6) as mean_age, count(distinct who) as speakers from speech join p on who = wiki_id where day is not null and born is not null and year is not null and party_abbrev is not null group by year, party_abbrev")
+def mean_age_year_party(spark: SparkSession, folder: str) -> DataFrame:
+    born = table(spark, folder, "person").groupBy("wiki_id").agg(F.min(first_day(F.col("born"))).alias("born")).where("born is not null")
+    rows = speech(spark, folder, "who", "day", "year", "party_abbrev").where("day is not null").join(born, F.col("who") == F.col("wiki_id"))
+    rows = R.keyed(rows, ["year", "party_abbrev"]).withColumn("age", X.approximate_age(F.col("day"), F.col("born")))
+    return rows.groupBy("year", "party_abbrev").agg(F.round(F.avg("age"), 6).alias("mean_age"), F.count_distinct("who").alias("speakers"))
+
+
+@query(S + " select protocol, min(who) as who from speech where protocol is not null and who is not null group by protocol having count(distinct who) = 1")
+def single_speaker_protocols(spark: SparkSession, folder: str) -> DataFrame:
+    rows = R.keyed(speech(spark, folder, "protocol", "who"), ["protocol", "who"])
+    return rows.groupBy("protocol").agg(F.min("who").alias("who"), F.count_distinct("who").alias("n")).where("n = 1").drop("n")
+
+
+@query(S + " select year, gender, party_abbrev, round(avg(n_tokens), 6) as mean_tokens, count(*) as speeches from speech where year is not null and party_abbrev is not null group by all")
+def mean_length_year_gender_party(spark: SparkSession, folder: str) -> DataFrame:
+    rows = R.keyed(speech(spark, folder, "year", "gender", "party_abbrev", "n_tokens"), ["year", "party_abbrev"])
+    return rows.groupBy("year", "gender", "party_abbrev").agg(F.round(F.avg("n_tokens"), 6).alias("mean_tokens"), F.count("*").alias("speeches"))
+
+
 @query(S + " , d as (select distinct protocol from speech where protocol is not null) select protocol, try_cast(case when regexp_full_match(split_part(protocol, '-', 2)[1:4], '[0-9]{4}') then split_part(protocol, '-', 2)[1:4] end as integer) as year, nullif(split_part(protocol, '--', 2), '') as number from d")
 def protocol_parts(spark: SparkSession, folder: str) -> DataFrame:
     rows = speech(spark, folder, "protocol").select("protocol").where("protocol is not null").distinct()

@@ -9,7 +9,7 @@ from talverk.functions import text as X
 from talverk.operators import ngrams as N
 from talverk.operators import reports as R
 from talverk.operators.latest import latest_rows
-from talverk.sources.tables import table
+from talverk.sources.tables import spread, table
 
 GENDERS = ["man", "woman", "unknown"]
 #: Stop words of the n-gram queries: frequent words of this corpus, and one of either wildcard form.
@@ -26,7 +26,7 @@ def speech(spark: SparkSession, folder: str, *names: str) -> DataFrame:
         "text": X.merged_text(F.col("text")), "who_intro": F.col("who_intro"),
     }
     rows = table(spark, folder, "speech_index").select("u_id", "loaded_at", *[columns[n].alias(n) for n in names])
-    return latest_rows(rows, "u_id", "loaded_at").drop("loaded_at")
+    return latest_rows(rows, "u_id", "loaded_at", spread(rows) if "text" in names else None).drop("loaded_at")
 
 
 S = """with speech as (
@@ -449,6 +449,30 @@ def _used(spark: SparkSession, folder: str) -> DataFrame:
     return N.used_by(N.document_counts(_runs(spark, folder), "u_id", LEAST), speech(spark, folder, "decade", "party_abbrev"), "u_id", "decade", "party_abbrev")
 
 
+@query(_A + " select ngram, corpus_count as in_corpus, cast(0 as bigint) as in_documents from allowed where false")
+def ngram_totals_differ(spark: SparkSession, folder: str) -> DataFrame:
+    """An assertion: no rows."""
+    runs = _runs(spark, folder)
+    return N.totals_differ(runs, N.document_counts(runs, "u_id", LEAST))
+
+
+@query(_G + f", r as (select gender, ngram, count(*) as uses from g join (select u_id, gender from speech) s using (u_id) group by all) select gender, ngram, uses, round(uses / cast(sum(uses) over (partition by ngram) as double), 9) as share from r qualify sum(uses) over (partition by ngram) >= {LEAST}")
+def ngram_group_usages(spark: SparkSession, folder: str) -> DataFrame:
+    return N.group_usages(_runs(spark, folder, "gender"), "gender", LEAST).withColumn("share", F.round("share", 9))
+
+
+@query(S + r" select year, cast(sum(n_tokens) as bigint) as tokens, round(sum(n_tokens) / cast(nullif(sum(length(text) - length(replace(text, ',', ''))), 0) as double), 6) as tokens_per_comma, round(sum(n_tokens) / cast(nullif(sum(length(text) - length(replace(text, ';', ''))), 0) as double), 6) as tokens_per_semicolon from speech where year is not null group by year")
+def tokens_per_mark_year(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("text")
+    out = speech(spark, folder, "year", "text", "n_tokens").where("year is not null").groupBy("year").agg(F.sum("n_tokens").alias("tokens"), F.sum(X.occurrences(t, ",")).alias("c"), F.sum(X.occurrences(t, ";")).alias("s"))
+    return out.select("year", "tokens", F.round(F.try_divide("tokens", "c"), 6).alias("tokens_per_comma"), F.round(F.try_divide("tokens", "s"), 6).alias("tokens_per_semicolon"))
+
+
+@query(S + r" select u_id, cast(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) as integer) as tokens from speech")
+def token_count_speech(spark: SparkSession, folder: str) -> DataFrame:
+    return speech(spark, folder, "text").select("u_id", X.token_count(F.col("text")).alias("tokens"))
+
+
 # filters on the introduction
 
 @query(S + " select u_id, who_intro from speech where contains(lower(who_intro), 'herr') is false and len(regexp_split_to_array(who_intro, '\\s+')) < 3")
