@@ -68,8 +68,8 @@ def overlap_hulls(affiliations: DataFrame, today: str, *, entity: str = "id", st
     Intervals are open, so ends that touch don't overlap; a null start is the earliest of all, a null end is `today`.
     """
     spans = affiliations.select(F.col(entity).alias("id"), "party", F.col(start).alias("s"), F.coalesce(end, F.lit(today).cast("date")).alias("e")).where("id is not null and party is not null").distinct()
-    earliest = spans.agg(F.min("s").alias("_least"))
-    spans = spans.crossJoin(F.broadcast(earliest)).select("id", "party", F.coalesce("s", "_least").alias("s"), "e").where("s < e").distinct()
+    earliest = spans.agg(F.min("s")).scalar()
+    spans = spans.select("id", "party", F.coalesce(F.col("s"), earliest).alias("s"), "e").where("s < e").distinct()
     a, b = spans.alias("a"), spans.alias("b")
     pairs = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.party") < F.col("b.party")) & (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e")))
     return pairs.groupBy(F.col("a.id").alias("id"), F.col("a.party").alias("party_1"), F.col("b.party").alias("party_2")).agg(

@@ -73,12 +73,12 @@ def group_tfidf(df: DataFrame, text: str, groups: list[str], n: int, least: int,
     raw = document_ngrams(rows, text, n, groups, stop_words).groupBy(*groups, "ngram").agg(F.count("*").alias("raw_count"))
     same = Window.partitionBy("ngram")
     known = raw.withColumn("corpus_count", F.sum("raw_count").over(same)).withColumn("df", F.count("*").over(same)).where(F.col("corpus_count") >= least)
-    number = sizes.agg(F.count("*").alias("_groups"))
-    idf = F.ln((F.col("_groups") + 1) / (F.col("df") + 1))
+    number = sizes.agg(F.count("*").alias("_groups")).scalar()
+    idf = F.ln((number + 1) / (F.col("df") + 1))
     if prefix is not None:
         idf = F.when(F.startswith("ngram", F.lit(prefix + " ")), idf).otherwise(0.0)
-    out = known.join(sizes, groups).crossJoin(F.broadcast(number)).withColumn("tf", F.try_divide(F.col("raw_count").cast("double"), F.col("total_ngrams"))).withColumn("idf", idf)
-    return out.withColumn("tfidf", F.col("tf") * F.col("idf")).withColumn("count_idf", F.col("raw_count") * F.col("idf")).drop("_groups")
+    out = known.join(sizes, groups).withColumn("tf", F.try_divide(F.col("raw_count").cast("double"), F.col("total_ngrams"))).withColumn("idf", idf)
+    return out.withColumn("tfidf", F.col("tf") * F.col("idf")).withColumn("count_idf", F.col("raw_count") * F.col("idf"))
 
 
 SORTS = ("tfidf", "raw_count", "count_idf")

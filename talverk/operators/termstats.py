@@ -64,6 +64,6 @@ def mark_terms(stats: DataFrame, total_records: DataFrame, least: int, share: fl
 
     `total_records` is a frame of one row and one column. A term that is both counts as `rare`.
     """
-    total = total_records.toDF("_total")
-    mark: Column = F.when(F.col("records") < least, "rare").when(F.col("records") > share * F.col("_total"), "common")
-    return stats.crossJoin(F.broadcast(total)).withColumn("mark", mark).drop("_total")
+    total = total_records.scalar()
+    mark: Column = F.when(F.col("records") < least, "rare").when(F.col("records") > share * total, "common")
+    return stats.withColumn("mark", mark)
