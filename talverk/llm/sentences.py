@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talverk.session import broadcast_if_small
+
 #: Texts of each language in the sample from which a model is trained. A bound on the work of the driver.
 SAMPLE = 1500
 #: Scores remembered by a worker for each kind of part; a bound on memory.
@@ -324,7 +326,7 @@ def train(texts: list[str], rounds: int = 150) -> Model:
 def sample_texts(df: DataFrame, key: str, text: str, group: str, size: int = SAMPLE, total: int = 12 * SAMPLE) -> list[str]:
     """At most `size` texts of each group and `total` in all, chosen by a hash of the key, for training only."""
     rows = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(F.col(group), F.lit("")).alias("_group"))
-    counts = rows.groupBy("_group").agg(F.count("*").alias("_count"))
+    counts = broadcast_if_small(rows.groupBy("_group").agg(F.count("*").alias("_count")))  # so that no text moves before it is chosen
     # so many texts of a group that hardly ever fewer than `size` are left, and no more are sorted
     chance = (F.xxhash64("_key", "_text").bitwiseAND(0xFFFFFFF) / 0x10000000) * F.col("_count") < 1.2 * size + 50
     some = rows.join(counts, "_group").where(chance)
