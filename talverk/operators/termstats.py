@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talverk.session import broadcast_if_small
+
 
 @F.pandas_udf(T.StringType())
 def plain_term(terms: pd.Series) -> pd.Series:
@@ -42,16 +44,19 @@ def record_numbers(records: DataFrame, record: str, groups: int) -> DataFrame:
     return records.select(record).where(F.col(record).isNotNull()).distinct().withColumn("grp", grp).withColumn("seq", F.row_number().over(Window.partitionBy("grp").orderBy(record)) - 1)
 
 
-def term_statistics(df: DataFrame, record: str, term: str, count: str, normalize=plain_term, groups: int | None = None) -> DataFrame:
+def term_statistics(df: DataFrame, record: str, term: str, count: str, normalize=plain_term, groups: int | None = None, records: DataFrame | None = None) -> DataFrame:
     """(term, occurrences bigint, records bigint): each distinct term with its total count and number of distinct records.
 
     Terms are compared as `normalize` makes them; those it makes null are left out. Rows with a null count count 0 times
     but do place the term in the record; rows with a null record add to the count and to no record. A term spread over
-    several rows of a record has that record once. An empty input gives no rows.
+    several rows of a record has that record once. An empty input gives no rows. `records` may name a frame with a column
+    `record` that holds all records of df (and perhaps more) and is cheaper to read than df.
     """
     groups = groups or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = df.select(F.col(record).alias("record"), F.col(term).alias("raw"), F.col(count).alias("n")).where("raw is not null").groupBy("record", "raw").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    numbered = spread.join(record_numbers(df.select(F.col(record).alias("record")), "record", groups), "record", "left")
+    rows = df.select(F.col(record).alias("record"), F.col(term).alias("raw"), F.coalesce(F.col(count), F.lit(0)).alias("n")).where("raw is not null")
+    # the numbers of the records are broadcast as long as they are few (checked); beyond that the join is by shuffle
+    numbers = broadcast_if_small(record_numbers(records if records is not None else df.select(F.col(record).alias("record")), "record", groups))
+    numbered = rows.join(numbers, "record", "left")
     bit = F.when(F.col("seq").isNotNull(), F.expr("shiftleft(1L, seq & 63)"))
     words = numbered.groupBy("raw", "grp", F.shiftright("seq", 6).alias("chunk")).agg(F.bit_or(bit).alias("bits"), F.sum("n").alias("n"))
     # variants of a term meet here: union of their bitmaps, sum of their counters

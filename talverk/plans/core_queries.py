@@ -41,7 +41,7 @@ def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     counts = table(spark, folder, "word_count")
     rows = termstats.latest_delivery(counts, "tally_id", "counted_at", ["u_id", "word", "cnt"])
     total = counts.where("u_id is not null").agg(F.count_distinct("u_id"))
-    return termstats.mark_terms(termstats.term_statistics(rows, "u_id", "word", "cnt"), total, 3, 0.2).withColumnRenamed("term", "word")
+    return termstats.mark_terms(termstats.term_statistics(rows, "u_id", "word", "cnt", records=counts.select(F.col("u_id").alias("record"))), total, 3, 0.2).withColumnRenamed("term", "word")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
