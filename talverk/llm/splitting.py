@@ -50,7 +50,7 @@ class Splitter:
                 return (np.flatnonzero(clean[begin + 1 : end]) + begin + 1).tolist()
             lo, hi = int(at_char[begin]), int(at_char[end])
             where = np.array([m.end(m.lastindex) for m in _ENDS[level].finditer(text, lo, hi)], np.int64)
-            k = np.searchsorted(at_char, where)
+            k = np.searchsorted(at_char, where, "right") - 1  # boundaries within the character before count the same, the clean one is last
             k = k[(k > begin) & (k < end)]
             return np.unique(k[np.isin(at_char[k], where) & clean[k]]).tolist()
 

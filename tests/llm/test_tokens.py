@@ -68,6 +68,17 @@ def test_cuts_lie_at_natural_places():
     assert {p[4] for p in pieces[:-1]} == {"sentence"} and all(text[: p[3]].endswith(".") for p in pieces)
 
 
+def test_cuts_after_characters_of_several_tokens():
+    own = encoder()
+    for sentence, stop in (("สภาผู้แทนราษฎรพิจารณาร่างพระราชบัญญัติงบประมาณ", "ณ"), ("समिति ने विद्यालय के लिए नया प्रस्ताव रखा है।", "।"), ("委员会审议了关于学校的报告𠮷。", "。")):
+        assert any(b"\xef\xbf\xbd" in own.decode([t]).encode() for t in own.encode(sentence))  # characters of more than one token
+        text = "\n\n".join(" ".join([sentence] * 3) for _ in range(30))
+        assert {p[4] for p in check(text, 500, 10)[:-1]} == {"paragraph"}, sentence
+        text = " ".join([sentence] * 60)
+        pieces = check(text, 300, 10)
+        assert {p[4] for p in pieces[:-1]} == {"sentence"} and all(text[: p[3]].endswith(stop) for p in pieces), sentence
+
+
 def test_split_oversized(spark):
     rows = [(1, "ord " * 300), (1, "ord " * 300), (2, "kort"), (3, ""), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "2 as begin")
