@@ -281,6 +281,12 @@ def word_ids(spark: SparkSession, folder: str) -> DataFrame:
     return files.word_ids(table(spark, folder, "word_count").where(F.col("word").rlike(r"\A[a-z]+\z")).select(F.lower("word").alias("word")), "word")
 
 
+@query("with w as (select distinct lower(word) as word from word_count where regexp_matches(word, '[^\\s\\p{Z}]')) select word, row_number() over (order by word) - 1 as id from w")
+def word_ids_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all different words in lower case, whatever their characters; null and blank ones have none. word_ids is the part of a to z."""
+    return files.word_ids(table(spark, folder, "word_count").where(F.col("word").rlike(r"[^\s\p{Z}]")).select(F.lower("word").alias("word")), "word")
+
+
 _TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><front><div type="preface"><head>prot-1990--001</head></div><docDate>1990-01-10</docDate></front><body>
 <u who="a" xml:id="u0">No note  before.</u><note type="speaker" xml:id="n1">Herr A:</note><u who="a" xml:id="u1"><seg>One two.</seg></u><u who="a" xml:id="u2">Three</u>
 <note type="speaker" xml:id="n2">Alone</note><note type="speaker" xml:id="n3">Fru B:</note><u who="b" xml:id="u3">Four</u><u who="c" xml:id="u4">Five</u></body></text></TEI>"""

@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from talverk.functions import text as X
 from talverk.operators import affiliation as A
 from talverk.operators import joins as J
@@ -150,3 +151,11 @@ def test_stream_windows(spark, tmp_path):
     query = ST.tokens_a_window(stream, "ts", "value").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r["total"] for r in spark.table("windows").collect()) == [3.0, 4.0]
+
+
+def test_word_ids_of_all_words(spark, tmp_path):
+    words = ["väg", "Väg", "ÅR", "bro", "1994", "skatt2", "報告", "ภาษี", "à", "à", "a", "b-c", "", " ", " ", None, "bro"]
+    spark.createDataFrame([(w,) for w in words], "word string").write.parquet(str(tmp_path / "word_count.parquet"))
+    got = {r["word"]: r["id"] for r in entry.queries()["word_ids_all"](spark, str(tmp_path)).collect()}
+    different = sorted({w.lower() for w in words if w and w.strip()}, key=str.encode)
+    assert got == {w: k for k, w in enumerate(different)}
