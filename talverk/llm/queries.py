@@ -29,9 +29,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentence_model(speeches: DataFrame) -> sentences.Model:
-    """A model of sentence boundaries from a bounded sample of the segments of digital speeches of each language."""
+    """A model of sentence boundaries: weights from a bounded sample of the segments of digital speeches of each language, counts of words from all."""
     segments = speeches.where("capture = 'digital'").select("u_id", "lang", F.explode("text").alias("segment"))
-    return sentences.train(sentences.sample_texts(segments, "u_id", "segment", "lang"))
+    sample = sentences.sample_texts(segments, "u_id", "segment", "lang")
+    return sentences.train(sample, counts=sentences.corpus_counts(spread(speeches.where("capture = 'digital'").select("text")).select(F.explode("text").alias("segment")), "segment", sample))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

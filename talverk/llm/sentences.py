@@ -4,7 +4,8 @@ Candidate boundaries are generated (terminators with what closes after them, spa
 or brackets that are closed later, nor within numbers), and each is classified by a maximum-entropy model over its
 neighbouring tokens, their case, length, digits and script. The model is trained without labels given: boundaries
 and non-boundaries that are beyond doubt in a bounded sample serve as examples (see `_label`), and the model decides
-the doubtful ones, mostly abbreviations before a capital letter.
+the doubtful ones, mostly abbreviations before a capital letter. What is known of words (how they are written, which are
+abbreviations) is counted over all texts (`corpus_counts`).
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talverk.session import broadcast_if_small
+from talverk.session import broadcast_if_small, written
 
 #: Texts of each language in the sample from which a model is trained. A bound on the work of the driver.
 SAMPLE = 1500
 #: Scores remembered by a worker for each kind of part; a bound on memory.
 REMEMBER = 200_000
+#: Least share of the full stops that an abbreviation has before it, and least number. A bound on what the driver gets.
+SHARE, LEAST = 2e-6, 3
+#: Longest word that is counted: a token next to a candidate is no longer.
+LONGEST = 40
 
 _TERM = re.compile("[.!?…。！？।॥؟۔]+")
 _CLOSERS = frozenset("\"'»«”“’)]」』）】›")
@@ -156,7 +161,7 @@ def _middle(c: Candidate, before: str, after: str) -> list[str]:
 
 
 class Model:
-    """Weights of the features and the abbreviations of the sample; a positive sum of weights is a boundary.
+    """Weights of the features and the abbreviations; a positive sum of weights is a boundary.
 
     The parts before, between and after the candidate add up, so each is remembered by itself.
     """
@@ -200,11 +205,17 @@ class Model:
 
 
 class _Counts:
-    """How the words of the sample are written: what tells abbreviations, names and openers of sentences apart."""
+    """How the words of the texts are written: what tells abbreviations, names and openers of sentences apart."""
 
-    def __init__(self, texts: list[str]):
-        self.dotted, self.goes_on, self.plain, self.inner, self.opening = (Counter() for _ in range(5))
-        self.follows: dict[str, Counter] = {}
+    KINDS = ("dotted", "goes_on", "plain", "inner", "opening", "ended")
+
+    def __init__(self, texts: list[str] = ()):
+        self.dotted, self.goes_on, self.plain, self.inner, self.opening, self.ended = (Counter() for _ in self.KINDS)
+        self.least = LEAST
+        self.add(texts)
+
+    def add(self, texts: list[str]) -> None:
+        """Count all but `ended`, the tokens before a full stop that is a candidate."""
         for text in texts:
             before, was, stopped = "", None, None
             for token in text.split():
@@ -237,7 +248,7 @@ class _Counts:
         return len(low) >= 8 or self.plain[low] + self.plain[prev] >= max(2, 0.25 * self.dotted[low])
 
     def name(self, word: str) -> bool:
-        return self.inner[word] > 0 and self.plain[word.lower()] == 0 and self.inner[word] >= self.opening[word]
+        return self.inner[word] > 0 and self.plain[word.lower()] <= 0.01 * self.inner[word] and self.inner[word] >= self.opening[word]
 
     def opener(self, word: str) -> bool:
         if self.opening[word] == 0 and len(word) <= 2 and word != word.upper():
@@ -246,6 +257,13 @@ class _Counts:
             return False
         return self.opening[word] >= 2 and self.opening[word] > self.inner[word] or (self.plain[word.lower()] >= 3 and self.plain[word.lower()] > self.inner[word])
 
+    def abbreviations(self) -> frozenset[str]:
+        found = Counter()
+        for prev, n in self.ended.items():
+            if not self.ordinary(prev):
+                found[prev.lower()] += n
+        return frozenset(w for w, n in found.items() if n >= self.least and not w[-1:].isdigit() and w[-1:] not in _CLOSERS and any(map(str.isalpha, w)) and len(w) <= 12)
+
 
 def _label(c: Candidate, counts: _Counts, final: set[str]) -> bool | None:
     """Is it beyond doubt a boundary or none? `final` are abbreviations that mostly stand before an opener."""
@@ -277,22 +295,28 @@ def _label(c: Candidate, counts: _Counts, final: set[str]) -> bool | None:
     return False if after in ("digit", "item", "initial") and c.prev.lower() not in final else None
 
 
-def train(texts: list[str], rounds: int = 150) -> Model:
-    """A model from the candidates of the texts that are beyond doubt. Without any, one that takes every candidate."""
+def train(texts: list[str], rounds: int = 150, counts: _Counts | None = None) -> Model:
+    """A model from the candidates of the texts that are beyond doubt. Without any, one that takes every candidate.
+
+    `counts` are those of the corpus from which the texts come; without them the texts are the corpus.
+    """
     texts = [t for t in texts if t and t.strip()]
-    counts = _Counts(texts)
+    own, whole = _Counts(texts), counts is not None
+    counts = counts if whole else own
     seen: list[Candidate] = []
     for text in texts:
         for c, _ in candidates(text, lambda c: c.term[0] in "!?" or c.term[0] in _CASELESS_END or (c.term == "." and counts.ordinary(c.prev))):
             seen.append(c)
     low, all_, up = Counter(), Counter(), Counter()
     for c in seen:
+        if c.term == "." and not whole:
+            counts.ended[c.prev] += 1
         if c.term == "." and not counts.ordinary(c.prev):
             after, word = _kind_after(c.next), c.next.rstrip(".,;:!?…)»”\"'")
             all_[c.prev.lower()] += 1
             low[c.prev.lower()] += after in ("lower", "digit")
             up[c.prev.lower()] += after == "upper" and counts.opener(word) and not counts.name(word)
-    short = frozenset(w for w, n in all_.items() if n >= 3 and not w[-1:].isdigit() and len(w) <= 12)
+    short = counts.abbreviations()
     final = {w for w, n in all_.items() if n >= 5 and up[w] > 0.6 * n and low[w] < 0.15 * n}
     rows: list[tuple[list[str], bool]] = []
     for c in seen:
@@ -302,7 +326,7 @@ def train(texts: list[str], rounds: int = 150) -> Model:
             rows.append((_before(c.prev, before) + _after(c.next) + _middle(c, before, after), label))
     # what may open a sentence and what stands capitalized within one, as if after an abbreviation
     doubtful = Candidate(0, "x.x", ".", "", " ", "X", False, False)
-    for words, label in ((counts.opening, True), (counts.inner, False)):
+    for words, label in ((own.opening, True), (own.inner, False)):
         for word, n in words.items():
             if counts.name(word) is not label:
                 rows += [(_after(word) + _middle(doubtful, "abbreviation", _kind_after(word)), label)] * min(n, 20)
@@ -335,6 +359,48 @@ def sample_texts(df: DataFrame, key: str, text: str, group: str, size: int = SAM
     return [r[0] for r in taken.select("_text").collect()]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(counts: _Counts) -> pa.RecordBatch:
+        counters = [getattr(counts, kind) for kind in _Counts.KINDS]
+        words = [w for w in set().union(*counters) if len(w) <= LONGEST]
+        words = [w for w in words if w.isascii() or not any("\ud800" <= x <= "\udfff" for x in w)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([w.lower() for w in words], pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counters)], ["word", "low", *_Counts.KINDS])
+
+    counts = _Counts()
+    for batch in batches:
+        texts = [t for t in batch.column(0).to_pylist() if t]
+        counts.add(texts)
+        for text in texts:
+            counts.ended.update(c.prev for c, _ in candidates(text, lambda c: False) if c.term == ".")
+        if len(counts.plain) + len(counts.dotted) + len(counts.ended) > REMEMBER:
+            yield rows(counts)
+            counts = _Counts()
+    yield rows(counts)
+
+
+def corpus_counts(df: DataFrame, text: str, sample: list[str], share: float = SHARE) -> _Counts:
+    """The counts over all texts, of the words of the sample and of those that have at least `share` of the full stops.
+
+    Null and empty texts have no words; repeated rows count again.
+    """
+    sums = [F.sum(kind).alias(kind) for kind in _Counts.KINDS]
+    kinds = ", ".join(f"{kind} bigint" for kind in _Counts.KINDS)
+    words = written(df.select(text).mapInArrow(_counted, f"word string, low string, {kinds}").groupBy("word", "low").agg(*sums))
+    counts = _Counts()
+    counts.least = max(LEAST, share * (words.agg(F.sum("ended")).first()[0] or 0))
+    own = _Counts(sample)
+    for t in sample:
+        own.ended.update(p for c, _ in candidates(t, lambda c: False) for p in (c.prev, c.next.rstrip(".,;:!?…)»”\"'")))
+    lows = sorted({w.lower() for kind in _Counts.KINDS for w in getattr(own, kind) if len(w) <= LONGEST})
+    frequent = words.groupBy("low").agg(F.sum("ended").alias("_n")).where(F.col("_n") >= counts.least).select("low")
+    wanted = frequent.union(df.sparkSession.createDataFrame([(w,) for w in lows], "low string")).distinct()
+    for row in words.join(wanted, "low", "left_semi").select("word", *_Counts.KINDS).toLocalIterator():
+        for kind in _Counts.KINDS:
+            if row[kind]:
+                getattr(counts, kind)[row["word"]] = row[kind]
+    return counts
+
+
 def ends_udf(model: Model):
     weights, short = model.weights, model.short
     made: list[Model] = []

@@ -65,3 +65,17 @@ def test_rows(spark):
     sample = Z.sample_texts(df.selectExpr("u_id", "explode(text) as s", "lang"), "u_id", "s", "lang", size=2)
     assert len(sample) == 3 and "utan" in sample
     assert Z.sample_texts(df.limit(0).selectExpr("u_id", "lang as s", "lang"), "u_id", "s", "lang") == []
+
+
+def test_abbreviations_come_from_all_texts(spark):
+    sample = [t for t, _ in corpus(300, 4)]
+    rest = [f"Man ser fördr. {p} och hus. Vi ser bro." for p in PLACES] * 10
+    df = spark.createDataFrame([(t,) for t in [*sample, *rest, None, "", "x" * 100_000]], "segment string")
+    counts = Z.corpus_counts(df, "segment", sample)
+    whole = Z._Counts([*sample, *rest])
+    assert counts.dotted["fördr"] == 40 and "fördr" not in Z.train(sample).short
+    assert all(counts.plain[w] == whole.plain[w] and counts.inner[w] == whole.inner[w] and counts.opening[w] == whole.opening[w] for w in Z._Counts(sample).plain)
+    model = Z.train(sample, counts=counts)
+    assert "fördr" in model.short and "bl.a" in model.short and "bro" not in model.short
+    assert parts("Man ser fördr. Lövby och hus. Vi ser bro.", model) == ["Man ser fördr. Lövby och hus.", "Vi ser bro."]
+    assert Z.corpus_counts(df.limit(0), "segment", []).abbreviations() == frozenset()
