@@ -11,20 +11,32 @@ from pyspark.sql import types as T
 PERIODS = T.ArrayType(T.IntegerType())
 
 
+def merge_two(a: list[int], b: list[int]) -> list[int]:
+    """Union of two lists of disjoint sorted intervals, by one walk along both."""
+    out: list[int] = []
+    i = j = 0
+    while i < len(a) or j < len(b):
+        if j == len(b) or (i < len(a) and a[i] <= b[j]):
+            lo, hi, i = a[i], a[i + 1], i + 2
+        else:
+            lo, hi, j = b[j], b[j + 1], j + 2
+        if not out or lo > out[-1] + 1:
+            out += (lo, hi)
+        elif hi > out[-1]:
+            out[-1] = hi
+    return out
+
+
+def merge_all(lists: list[list[int]]) -> list[int]:
+    """Union of many such lists, by merging pairs until one is left."""
+    while len(lists) > 1:
+        lists = [merge_two(*lists[k : k + 2]) if k + 1 < len(lists) else lists[k] for k in range(0, len(lists), 2)]
+    return lists[0] if lists else []
+
+
 @F.arrow_udf(PERIODS)
 def merge_lists(lists: pa.Array) -> pa.Array:
-    """Union of lists of disjoint sorted intervals: linear in their length, as sorted() merges sorted runs."""
-
-    def merge(parts: list[list[int]]) -> list[int]:
-        out: list[int] = []
-        for lo, hi in sorted([x for p in parts for x in zip(p[::2], p[1::2])]):
-            if not out or lo > out[-1] + 1:
-                out += (lo, hi)
-            elif hi > out[-1]:
-                out[-1] = hi
-        return out
-
-    return pa.array([merge(parts) for parts in lists.to_pylist()], pa.list_(pa.int32()))
+    return pa.array([merge_all(parts) for parts in lists.to_pylist()], pa.list_(pa.int32()))
 
 
 def disjoint_periods(df: DataFrame, entity: str, lo: Column, hi: Column) -> DataFrame:

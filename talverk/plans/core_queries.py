@@ -10,19 +10,27 @@ from talverk.operators import asof, intervals, termstats
 from talverk.sources.tables import table
 
 
+def _known(spark: SparkSession, folder: str, values: dict[str, str]) -> DataFrame:
+    """Each speech with a speaker and a date, with the attributes that the register held on that day: a name and the register's column for each."""
+    speeches = table(spark, folder, "speech_index").select("u_id", "who", "date", "party_affiliation").where("date is not null and who is not null and who <> 'unknown'").distinct()
+    register = table(spark, folder, "party_affiliation")
+    registers = {
+        name: asof.held_values(register, name, F.col(column), record="aff_id", recorded="recorded", start=first_day(F.col("start")), end=last_day(F.col("end")), entity="wiki_id")
+        for name, column in values.items()
+    }
+    return speeches.join(asof.attributes_at_event_time(speeches, "who", "date", registers), ["who", "date"], "left")
+
+
 def p1_attributes(spark: SparkSession, folder: str) -> DataFrame:
     """Each speech with a speaker and a date, with the party of the register as known on that day and the record that says so."""
-    speeches = table(spark, folder, "speech_index").select("u_id", "who", "date", "party_affiliation").where("date is not null and who is not null and who <> 'unknown'").distinct()
-    register = table(spark, folder, "party_affiliation").select("aff_id", "wiki_id", "party", "recorded", "start", "end").withColumn("entry", F.col("aff_id"))
-    held = asof.held_intervals(register, "aff_id", "recorded", first_day(F.col("start")), last_day(F.col("end")), entity="wiki_id", attributes=["party", "entry"])
-    known = asof.attributes_at_event_time(speeches, "who", "date", held, ["party", "entry"])
-    joined = speeches.join(known, ["who", "date"], "left")
-    return joined.select("u_id", "who", "date", "party_affiliation", F.coalesce("party", F.lit("unknown")).alias("party"), F.col("entry").cast("bigint").alias("aff_id"))
+    known = _known(spark, folder, {"party": "party", "entry": "aff_id"})
+    return known.select("u_id", "who", "date", "party_affiliation", F.coalesce("party", F.lit("unknown")).alias("party"), F.col("entry").cast("bigint").alias("aff_id"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Speeches whose stated party is not that of the register on the day."""
-    return p1_attributes(spark, folder).where(~F.col("party_affiliation").eqNullSafe(F.col("party"))).select("u_id").distinct()
+    known = _known(spark, folder, {"party": "party"})
+    return known.where(~F.col("party_affiliation").eqNullSafe(F.coalesce("party", F.lit("unknown")))).select("u_id").distinct()
 
 
 def seats(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows that may be broadcast by a size-checked hint; rows are narrow (a few columns of ids).
-BROADCAST_ROWS = 500_000
+#: Largest number of rows, and of bytes of their values, that may be broadcast by a size-checked hint.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
+_written: list[tuple[SparkSession, str]] = []
 
 
 def get_session(app: str = "talverk", cpus: int | None = None) -> SparkSession:
@@ -60,16 +64,58 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared checkpoint folder: read several times, computed once."""
+def _write(df: DataFrame) -> str:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared checkpoint folder: read several times, computed once.
+
+    The table stays until `clean` or the end of the driver, as a lazy result may read it at any time.
+    """
+    path = _write(df)
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(df: DataFrame) -> Iterator[DataFrame]:
+    """The frame as such a table for the length of a block; nothing that is read after the block may stand on it."""
+    path = _write(df)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        _delete(df.sparkSession, path)
+
+
+def clean() -> None:
+    """Delete the tables of `written`: for long sessions, once the results that stand on them have been used."""
+    while _written:
+        with suppress(Exception):  # the session may have ended
+            _delete(*_written.pop())
+
+
+atexit.register(clean)
+
+
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of the values of a row: of strings and binaries as they are, of other columns as their text, as an estimate."""
+    sizes = [F.octet_length(f"`{c}`") if t in ("string", "binary") else F.lit(8) if t in ("bigint", "int", "double", "date", "timestamp", "boolean") else F.octet_length(F.to_json(F.struct(f"`{c}`"))) for c, t in df.dtypes]
+    return sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(0))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only where a count of a materialized frame proves the bound; else the plain frame."""
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint only where the rows and bytes of a materialized frame prove the bound; else the plain frame."""
     kept = materialize(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    if kept.limit(rows + 1).count() > rows:
+        return kept
+    return F.broadcast(kept) if (kept.agg(F.sum(_bytes(kept))).first()[0] or 0) <= size else kept

@@ -22,8 +22,11 @@ def brute(versions, who, day):
 def answer(spark, versions, events):
     v = spark.createDataFrame(versions, VERSIONS)
     e = spark.createDataFrame(events, "who string, date date, entity string")
-    held = asof.held_intervals(v, "aff_id", "recorded", first_day(F.col("start")), last_day(F.col("end")), entity="who", attributes=["party"])
-    return {(r["who"], r["date"]): r["party"] for r in asof.attributes_at_event_time(e, "who", "date", held, ["party"]).collect()}
+    return {(r["who"], r["date"]): r["party"] for r in asof.attributes_at_event_time(e, "who", "date", {"party": held(v, "party", "party")}).collect()}
+
+
+def held(versions, attribute, column):
+    return asof.held_values(versions, attribute, F.col(column), record="aff_id", recorded="recorded", start=first_day(F.col("start")), end=last_day(F.col("end")), entity="who")
 
 
 def test_against_brute_force(spark):
@@ -57,3 +60,19 @@ def test_edges(spark):
     assert got == {("a", D(1989, 12, 31)): None, ("a", D(1990, 1, 1)): "x", ("a", D(1990, 12, 31)): "x", ("a", D(1991, 1, 1)): None, ("b", D(1999, 1, 1)): None, ("c", D(1982, 1, 1)): None}
     assert answer(spark, [], events[:2]) == {("a", D(1989, 12, 31)): None, ("a", D(1990, 1, 1)): None}
     assert answer(spark, versions, []) == {}
+
+
+def test_registers_that_change_at_other_times(spark):
+    row = lambda k, value, start, recorded: {"aff_id": k, "who": "a", "party": value, "start": start, "end": None, "recorded": recorded, "entity": None, "day": None}
+    parties = [row(1, "x", "1990", T(1990, 5, 1)), row(1, "y", "1990", T(1994, 1, 1)), row(2, "z", "1996", T(1996, 3, 1))]
+    roles = [row(1, "member", "1985", T(1992, 1, 1)), row(2, "chair", "1993", T(1995, 7, 1))]  # chair since 1993, known since 1995
+    registers = {"party": held(spark.createDataFrame(parties, VERSIONS), "party", "party"), "role": held(spark.createDataFrame(roles, VERSIONS), "role", "party")}
+    days = [D(1990, 4, 30), D(1990, 5, 1), D(1992, 1, 1), D(1994, 1, 1), D(1995, 6, 30), D(1995, 7, 1), D(1996, 3, 1)]
+    events = spark.createDataFrame([("a", d) for d in days] + [("nobody", days[0])], "who string, date date")
+    got = {(r["who"], r["date"]): (r["party"], r["role"]) for r in asof.attributes_at_event_time(events, "who", "date", registers).collect()}
+    assert [got["a", d] for d in days] == [(None, None), ("x", None), ("x", "member"), ("y", "member"), ("y", "member"), ("y", "chair"), ("z", "chair")]
+    assert got["nobody", days[0]] == (None, None)
+    # each attribute has what it has alone, whatever the other register does
+    for name, register in registers.items():
+        alone = {(r["who"], r["date"]): r[name] for r in asof.attributes_at_event_time(events, "who", "date", {name: register}).collect()}
+        assert alone == {k: v[name == "role"] for k, v in got.items()}

@@ -1,6 +1,8 @@
 import datetime
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from talverk.functions.dates import first_day, last_day
@@ -79,3 +81,34 @@ def test_latest_rows(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 1, None), (None, 9, "n"), ("c", None, "q")], "k string, v int, count string")
     assert sorted(map(tuple, latest_rows(df, "k", "v").collect())) == [("a", 2, "z"), ("b", 1, None), ("c", None, "q")]
     assert latest_rows(df.limit(0), "k", "v").count() == 0
+    df = df.withColumn("_n", F.lit(1))
+    assert latest_rows(df, "k", "v").count() == 3
+    rows = spark.range(1000).select((F.col("id") % 400).alias("k"), F.col("id").alias("v"), F.lit("x").alias("t"))
+    assert {r["k"]: r["v"] for r in latest_rows(rows, "k", "v").collect()} == {k: max(v for v in range(k, 1000, 400)) for k in range(400)}
+
+
+def test_bitmaps():
+    rng = random.Random(3)
+    for size in (0, 1, 50, 4095, 4096, 5000, 65_536):
+        a, b = (np.array(sorted(rng.sample(range(65_536), size)), np.uint16) for _ in range(2))
+        assert (termstats.unpack(termstats.pack(a)) == a).all() and termstats.cardinality(termstats.pack(a)) == size
+        both = termstats.union([termstats.pack(a), termstats.pack(b), termstats.pack(a[:3])])
+        assert set(termstats.unpack(both).tolist()) == set(a.tolist()) | set(b.tolist()) and termstats.cardinality(both) == len(set(a.tolist()) | set(b.tolist()))
+
+
+def test_repeated_numbers(spark):
+    rng = random.Random(5)
+    numbers = [rng.choice([rng.randrange(3000), rng.randrange(-(2**62), 2**62), -1]) for _ in range(4000)]
+    df = spark.createDataFrame([(n,) for n in numbers] + [(None,), (None,)], "high long").repartition(5)
+    assert sorted(r[0] for r in termstats.repeated_numbers(df, "high").collect()) == sorted(n for n, k in Counter(numbers).items() if k > 1)
+    assert termstats.repeated_numbers(df.limit(0), "high").count() == 0
+
+
+def test_hot_term_and_record(spark, monkeypatch):
+    monkeypatch.setattr(termstats, "POSTINGS", 5000)
+    df = spark.range(200_000).select(F.concat(F.lit("u"), F.col("id") % 90_000).alias("u"), F.when(F.col("id") % 3 == 0, "Och").when(F.col("id") % 3 == 1, "och").otherwise(F.concat(F.lit("w"), F.col("id") % 11)).alias("w"), F.lit(2).alias("n"))
+    hot = df.limit(70_000).withColumn("u", F.lit("one"))
+    rows = df.unionByName(hot)
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in termstats.term_statistics(rows, "u", "w", "n").collect()}
+    want = rows.groupBy(F.lower("w").alias("w")).agg(F.sum("n"), F.count_distinct("u")).collect()
+    assert got == {r[0]: (r[1], r[2]) for r in want}
