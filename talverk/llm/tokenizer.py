@@ -107,56 +107,6 @@ def ids_udf(folder: str = TOKENIZERS, file: str = BYTE_BPE_50K):
 
     return ids
 
-    def packed(self, text: str | None) -> bytes:
-        """The ids of the text as 32-bit integers; nothing for a null or empty text. Lone surrogates count as U+FFFD."""
-        if not text:
-            return b""
-        if not text.isascii():
-            try:
-                text.encode()
-            except UnicodeEncodeError:
-                text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        get, part, out = self.known.get, self._part, []
-        for block in self.blocks(text) if len(text) > BLOCK else (text,):  # parts are cut before spaces that follow no white space
-            words = [word for word in _LONE.split(block) if word] if "\0" in block else block.replace(" ", "\0 ").split("\0")
-            found = list(map(get, words))  # no remembered part ends in white space
-            if None in found:
-                if any(ids is None and (not word or word[-1].isspace()) for word, ids in zip(words, found)):
-                    words = [word for word in _LONE.split(block) if word]
-                    found = list(map(get, words))
-                found = [part(word) if ids is None else ids for word, ids in zip(words, found)]
-            out += found
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.packed(text), np.int32).tolist()
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids; bytes that are no whole character, as at the edges of a piece, become U+FFFD."""
-        return self.bytes_of(ids).decode("utf-8", "replace")
-
-    def bytes_of(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bpe.decode_single_token_bytes, ids))
-
-
-@lru_cache(maxsize=2)
-def encoder(folder: str = TOKENIZERS, file: str = BYTE_BPE_50K) -> Encoder:
-    """One encoder for each Python worker."""
-    return Encoder(folder, file)
-
-
-def ids_udf(folder: str = TOKENIZERS, file: str = BYTE_BPE_50K):
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        own = encoder(folder, file)
-        offsets, values = np.zeros(len(texts) + 1, np.int32), []
-        for k, text in enumerate(texts):
-            values.append(np.array(own.encode(text.as_py()), np.int32))
-            offsets[k + 1] = offsets[k] + len(values[-1])
-        return pa.ListArray.from_arrays(offsets, np.concatenate(values) if values else np.zeros(0, np.int32))
-
-    return ids
-
 
 def token_ids(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, file: str = BYTE_BPE_50K) -> DataFrame:
     """(key, ids array<int>): every row with the ids of its text.

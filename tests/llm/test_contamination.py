@@ -46,10 +46,10 @@ def test_every_run_is_found(spark):
     items += [(500, None), (None, items[2][1]), (501, "")]
     d = spark.createDataFrame(documents, "doc_id long, text string").selectExpr("*", "1 as low", "'x' as shared")
     i = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'en' as suite")
-    for run in (13, 6):
-        got = C.leaked_items(d, "doc_id", "text", i, "item_id", "text", run).collect()
+    for run, block in ((13, C.BLOCK), (6, 600)):  # the second in several blocks
+        got = C.leaked_items(d, "doc_id", "text", i, "item_id", "text", run, block).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == brute(documents, items, run) and len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
-        assert all(0 < r["containment"] <= 1 for r in got)
+        assert all(0 < r["containment"] <= 1 and 0 < r["estimate"] <= 1 for r in got)
     assert C.leaked_items(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
     assert C.leaked_items(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
 
@@ -60,3 +60,19 @@ def test_repeated_keys_and_long_texts(spark):
     i = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"], r["shared"]) for r in C.leaked_items(d, "doc_id", "text", i, "item_id", "text").collect())
     assert got == [(1, 7, 18), (2, 7, 18)]
+
+
+def test_signatures():
+    rng = random.Random(6)
+    item = [f"w{k}" for k in range(60)]
+    items = C.Items([(k, " ".join(item[:n])) for k, n in enumerate((12, 13, 25, 26, 60))], 13)
+    assert sorted(items.words) == [1, 2, 3, 4] and [C.size_class(n, 13) for n in (13, 25, 26, 60, 104)] == [0, 0, 1, 2, 3]
+    assert items.thresholds[0, 0] == 1 / len(items.sketches[0][2]) and items.thresholds[2, 0] < items.thresholds[1, 0] < 1
+    # every run of 13 words shares a minimum under each function, in classes of all sizes
+    known = C._Hashes()
+    for _ in range(100):
+        at = rng.randrange(48)
+        text = [f"x{rng.randrange(9)}" for _ in range(20)] + item[at : at + 13] + [f"y{rng.randrange(9)}" for _ in range(20)]
+        shingles = C.shingle_hashes(C.np.array([known[w] for w in text], C.np.uint64))
+        for f in range(C.FUNCTIONS):
+            assert items.sketches[f][4] & set(C.window_minima(shingles, 13, f).tolist())
