@@ -14,41 +14,63 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-def p2_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """Reading level of every digital Swedish speech, with its number of words and the figures behind the level."""
-    speeches = table(spark, folder, "speech_index")
-    rows = speeches.where("lang = 'sv' and capture = 'digital'").select("u_id", "loaded_at", "text")
-    own = latest_rows(rows, "u_id", "loaded_at", spread(rows))
+def digital(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The deliveries of digital speeches."""
+    return table(spark, folder, "speech_index").where("capture = 'digital'").select("u_id", "lang", "loaded_at", "text", *columns)
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    return latest_rows(rows, "u_id", "loaded_at", spread(rows))
+
+
+def study(spark: SparkSession, folder: str, words: bool = False) -> sentences.Study:
+    """What one pass over all digital speeches tells of words and sentences."""
+    rows = digital(spark, folder)
+    return sentences.study(rows, "u_id", "text", "lang", words=words, wide=spread(rows))
+
+
+def _levels(spark: SparkSession, folder: str, speeches: DataFrame) -> DataFrame:
+    known = study(spark, folder, words=True)
     labels = table(spark, folder, "reading_label").select("u_id", "level")
-    return readability.reading_levels(own, "u_id", "text", labels, "level", sentence_model(speeches))
+    return readability.reading_levels(speeches, "u_id", "text", "lang", labels, "level", known.model(), readability.familiar_words(known.frequencies()))
+
+
+def p2_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading level of every speech, scanned ones by their repaired text, with its number of words and the figures behind the level."""
+    scanned = _repaired(spark, folder, "lang").select("u_id", "lang", F.transform("parts", lambda p: p["text"]).alias("text"))
+    return _levels(spark, folder, latest(digital(spark, folder)).select("u_id", "lang", "text").unionByName(scanned))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The most demanding digital Swedish speeches of at least 40 words."""
-    return p2_levels(spark, folder).where("words >= 40 and level = 5").select("u_id")
+    return _levels(spark, folder, latest(digital(spark, folder).where("lang = 'sv'"))).where("words >= 40 and level = 5").select("u_id")
 
 
-def sentence_model(speeches: DataFrame) -> sentences.Model:
-    """A model of sentence boundaries: weights from a bounded sample of the segments of digital speeches of each language, counts of words from all."""
-    segments = speeches.where("capture = 'digital'").select("u_id", "lang", F.explode("text").alias("segment"))
-    sample = sentences.sample_texts(segments, "u_id", "segment", "lang")
-    return sentences.train(sample, counts=sentences.corpus_counts(spread(speeches.where("capture = 'digital'").select("text")).select(F.explode("text").alias("segment")), "segment", sample))
+def p3_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of every segment: of digital speeches as they are, of scanned ones in their repaired text."""
+    model = study(spark, folder).model()
+    scanned = _repaired(spark, folder).select("u_id", F.lit("scan").alias("capture"), F.transform("parts", lambda p: p["text"]).alias("text"))
+    both = latest(digital(spark, folder)).select("u_id", F.lit("digital").alias("capture"), "text").unionByName(scanned)
+    return sentences.sentences(both.select(F.struct("u_id", "capture").alias("_speech"), "text"), "_speech", "text", model).select("_speech.*", "seg", "n", "char_end", "sentence")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence of the segments of digital speeches, by its end."""
-    speeches = table(spark, folder, "speech_index")
-    model = sentence_model(speeches)
-    return sentences.sentence_ends(spread(speeches.where("capture = 'digital'").select("u_id", "text", "loaded_at")), "u_id", "text", "loaded_at", model)
+    model = study(spark, folder).model()
+    return sentences.sentence_ends(latest(digital(spark, folder)), "u_id", "text", model)
+
+
+def _repaired(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """(u_id, parts, columns…) of each scanned speech."""
+    speeches = table(spark, folder, "speech_index").select("u_id", "loaded_at", "text", "capture", *columns)
+    rows = speeches.where("capture = 'scan'").select("u_id", "loaded_at", "text", *columns)
+    reference = spread(speeches.where("capture = 'digital'").select(F.array_join("text", "\n").alias("text")))
+    return scans.read_scans(latest(rows), "u_id", "text", reference, "text", table(spark, folder, "scan_sample"), "raw", "repaired", columns)
 
 
 def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """The segments of scanned speeches as continuous text, with what was wrong with their lines."""
-    speeches = table(spark, folder, "speech_index").select("u_id", "loaded_at", "text", "capture")
-    rows = speeches.where("capture = 'scan'").select("u_id", "loaded_at", "text")
-    scanned = latest_rows(rows, "u_id", "loaded_at", spread(rows))
-    reference = spread(speeches.where("capture = 'digital'").select(F.array_join("text", "\n").alias("text")))
-    return scans.read_scans(scanned, "u_id", "text", reference, "text", table(spark, folder, "scan_sample"), "raw", "repaired")
+    return _repaired(spark, folder).select("u_id", F.posexplode("parts").alias("seg", "_p")).select("u_id", "seg", "_p.text", "_p.kinds")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,5 +103,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_pieces(spark, folder).where("piece = 0").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_levels, p3_found, p6_found, p6_repaired, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_levels, p3_found, p3_sentences, p6_found, p6_repaired, p7_ids, p8_found, p8_leaks, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}

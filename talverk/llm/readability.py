@@ -1,12 +1,15 @@
 """Reading level of texts by a familiar-word formula.
 
 Two figures describe a text: the share of its words that are not familiar, and the average length of its sentences.
-Familiar are the words that occur in a given share of all texts, so their list follows the corpus and is bounded: at
-most (average number of different words of a text) / share. Levels are set by labels: for each pair of neighbouring
-levels a logistic function of the two figures is fitted to what raters say.
-
-Only words written with a small first letter are weighed, in both figures: names and rosters of names make a text no
-harder. Sentences of fewer than three such words (forms of address, interjections) aren't averaged.
+Familiar are the words that occur in a given share of all texts of their group (language), so their list follows the
+corpus and is bounded: at most (average number of different words of a text) / share for each group. Levels are set by labels: for
+each pair of neighbouring levels a logistic function of the two figures is fitted to what raters say. Groups without
+labels are set by where a text lies among the texts of its own group: their figures are moved and scaled to the mean and
+deviation of those of the group with most labels, as neither words nor sentences are of one length in all languages.
+
+Only words that begin with no capital are weighed, in both figures: names and rosters of names make a text no harder. In
+scripts without spaces each character is a word. Sentences of fewer than three such words (forms of address,
+interjections) aren't averaged.
 """
 
 from __future__ import annotations
@@ -19,61 +22,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talverk.llm.sentences import Model
+from talverk.llm.sentences import Model, plain_words
 from talverk.session import materialize
 
 #: A word is familiar if it occurs in this share of the texts.
 FAMILIAR = 0.08
 #: Most labelled texts that a fit takes.
 LABELLED = 20_000
-_WORD = re.compile(r"[^\W_]+")
-#: Small words of letters, for document frequencies.
-_SMALL = r"(?<![\\p{L}\\p{N}])\\p{Ll}[\\p{L}\\p{N}]*"
-
+#: A group of fewer texts has the familiar words of all such groups together; with fewer labels it is none with labels.
+LEAST = 30
+_RUN = re.compile(r"[^\W_]+")
 
-def familiar_words(texts: DataFrame, segments: str, share: float = FAMILIAR) -> list[str]:
-    """The words with a document frequency of at least `share` of the texts that have any; all texts are counted."""
-    words = texts.select(F.expr(f"array_distinct(regexp_extract_all(array_join({segments}, '\\n'), '{_SMALL}', 0))").alias("_words")).where(F.size("_words") > 0)
-    # an empty word in each text counts the texts in the same pass
-    counted = words.select(F.explode(F.concat(F.array(F.lit("")), "_words")).alias("word")).groupBy("word").count().persist()
-    number = counted.where("word = ''").first()
-    found = sorted(r[0] for r in counted.where((F.col("count") >= share * number[1]) & (F.col("word") != "")).select("word").collect()) if number else []
-    counted.unpersist()
-    return found
 
+def familiar_words(frequencies: DataFrame, share: float = FAMILIAR) -> dict[str, list[str]]:
+    """For each group the words with a document frequency of at least `share` of its texts that aren't blank.
 
-def measures_udf(familiar: list[str], model: Model):
+    `frequencies` are those of `Study.frequencies`. Groups of fewer than LEAST texts are taken together as the group "".
+    """
+    kept = materialize(frequencies)
+    totals = kept.where("word = ''").select("group", F.col("texts").alias("_total"))
+    pooled = kept.join(F.broadcast(totals), "group").withColumn("group", F.when(F.col("_total") >= LEAST, F.col("group")).otherwise("")).groupBy("group", "word").agg(F.sum("texts").alias("texts"))
+    totals = pooled.where("word = '' and texts > 0").select("group", F.col("texts").alias("_total"))
+    out: dict[str, list[str]] = {}
+    for r in pooled.join(F.broadcast(totals), "group").where(F.col("texts") >= share * F.col("_total")).select("group", "word").collect():
+        own = out.setdefault(r["group"], [])
+        if r["word"]:
+            own.append(r["word"])
+    return {g: sorted(words) for g, words in out.items()}
+
+
+def measures_udf(familiar: dict[str, list[str]], model: Model):
     weights, short = model.weights, model.short
     made: list[Model] = []
-    known = frozenset(familiar)
+    known = {g: frozenset(words) for g, words in familiar.items()}
 
     @F.arrow_udf("struct<words:int,unfamiliar:double,length:double>")
-    def measures(texts: pa.Array) -> pa.Array:
+    def measures(texts: pa.Array, groups: pa.Array) -> pa.Array:
         if not made:
             made.append(Model(weights, short))
         rows = []
-        for segments in texts.to_pylist():
+        for segments, group in zip(texts.to_pylist(), groups.to_pylist()):
             words = small = strange = sentences = 0
+            own_known = known.get(group, known.get("", frozenset()))
             for text in segments or ():
-                begin = 0
+                begin, spaced = 0, max(text or "", default="") < "\u0900"
                 for end in made[0].ends(text):
-                    found = _WORD.findall(text, begin, end)
-                    begin = end
+                    found = _RUN.findall(text, begin, end)
                     words += len(found)
-                    own = [w for w in found if w[0].islower()]
+                    own = [w for w in found if w[0].islower()] if spaced else plain_words(text[begin:end])
+                    begin = end
                     if len(own) >= 3:
                         sentences += 1
                         small += len(own)
-                        strange += sum(w not in known for w in own)
+                        strange += sum(w not in own_known for w in own)
             rows.append({"words": words, "unfamiliar": strange / small if small else None, "length": small / sentences if sentences else None})
         return pa.array(rows, pa.struct([("words", pa.int32()), ("unfamiliar", pa.float64()), ("length", pa.float64())]))
 
     return measures
 
 
-def measures(texts: DataFrame, key: str, segments: str, familiar: list[str], model: Model) -> DataFrame:
-    """(key, words, unfamiliar, length) of each text; a text without a sentence of three small words has null figures."""
-    return texts.select(key, measures_udf(familiar, model)(F.col(segments)).alias("_m")).select(key, "_m.*")
+def measures(texts: DataFrame, key: str, segments: str, group: str, familiar: dict[str, list[str]], model: Model) -> DataFrame:
+    """(key, group, words, unfamiliar, length) of each text; a text without a sentence of three plain words has null figures."""
+    name = F.coalesce(F.col(group), F.lit(""))
+    return texts.select(F.col(key), name.alias("group"), measures_udf(familiar, model)(F.col(segments), name).alias("_m")).select(key, "group", "_m.*")
 
 
 def fit_levels(measured: DataFrame, labels: DataFrame, key: str, level: str, levels: int = 5) -> list[tuple[float, float, float] | None]:
@@ -103,19 +114,45 @@ def fit_levels(measured: DataFrame, labels: DataFrame, key: str, level: str, lev
     return out
 
 
-def level_of(weights: list[tuple[float, float, float] | None]) -> Column:
-    """Level from 1 up; a text without figures has the first."""
+def scales(measured: DataFrame, labels: DataFrame, key: str, level: str) -> DataFrame:
+    """(group, a, b, c, d): by a + b * unfamiliar and c + d * ln(length) the figures of a group are set on the scale of the labelled ones.
+
+    Groups with LEAST labels or more stand as they are, others get the mean and deviation of the group with most labels;
+    so do all where no group has labels, and groups whose figures don't differ.
+    """
+    named = labels.where(F.col(level).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct().withColumn("_labelled", F.lit(1))
+    rows = measured.where("length is not null").join(named, F.col(key) == F.col("_key"), "left")
+    figures = [f(x).alias(f"{n}_{k}") for k, x in (("u", F.col("unfamiliar")), ("l", F.ln("length"))) for n, f in (("mean", F.avg), ("dev", F.stddev_pop))]
+    groups = rows.groupBy("group").agg(F.count("_labelled").alias("_labels"), *figures).collect()
+    most = max(groups, key=lambda r: (r["_labels"], r["group"]), default=None)
+    out = []
+    for r in groups:
+        a = c = 0.0
+        b = d = 1.0
+        if r["_labels"] < LEAST and most["_labels"] and r["group"] != most["group"] and r["dev_u"] and r["dev_l"]:
+            b, d = most["dev_u"] / r["dev_u"], most["dev_l"] / r["dev_l"]
+            a, c = most["mean_u"] - b * r["mean_u"], most["mean_l"] - d * r["mean_l"]
+        out.append((r["group"], a, b, c, d))
+    return measured.sparkSession.createDataFrame(out, "group string, a double, b double, c double, d double")
+
+
+def level_of(weights: list[tuple[float, float, float] | None], unfamiliar: Column, length: Column) -> Column:
+    """Level from 1 up; a text without figures has the first. `length` is the logarithm of the average length."""
     level = F.lit(1)
     for w in weights:
         if w:
-            level += F.coalesce((F.lit(w[0]) + w[1] * F.col("unfamiliar") + w[2] * F.ln("length") > 0).cast("int"), F.lit(0))
+            level += F.coalesce((F.lit(w[0]) + w[1] * unfamiliar + w[2] * length > 0).cast("int"), F.lit(0))
     return level
 
 
-def reading_levels(texts: DataFrame, key: str, segments: str, labels: DataFrame, level: str, model: Model, share: float = FAMILIAR) -> DataFrame:
-    """(key, words, unfamiliar, length, level) of each text (an array of segments).
+def reading_levels(texts: DataFrame, key: str, segments: str, group: str, labels: DataFrame, level: str, model: Model, familiar: dict[str, list[str]]) -> DataFrame:
+    """(key, group, words, unfamiliar, length, level) of each text (an array of segments).
 
-    Null and empty texts have no words and the first level. Without labels every text has the first level.
+    Null and empty texts have no words and the first level. Without labels every text has the first level. A null group
+    is the group "".
     """
-    measured = materialize(measures(texts, key, segments, familiar_words(texts, segments, share), model))
-    return measured.withColumn("level", level_of(fit_levels(measured, labels, key, level)))
+    measured = materialize(measures(texts, key, segments, group, familiar, model))
+    weights = fit_levels(measured, labels, key, level)
+    scaled = measured.join(F.broadcast(scales(measured, labels, key, level)), "group", "left")
+    out = scaled.withColumn("level", level_of(weights, F.col("a") + F.col("b") * F.col("unfamiliar"), F.col("c") + F.col("d") * F.ln("length")))
+    return out.select(key, "group", "words", "unfamiliar", "length", "level")

@@ -368,7 +368,7 @@ def read_udf(spark: Any, reader: Reader):
     return read
 
 
-def read_scans(scans: DataFrame, key: str, segments: str, reference: DataFrame, text: str, samples: DataFrame, raw: str, repaired: str) -> DataFrame:
+def read_scans(scans: DataFrame, key: str, segments: str, reference: DataFrame, text: str, samples: DataFrame, raw: str, repaired: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """(key, seg, text, kinds) of each segment of the scans (arrays of strings): its continuous text and what was wrong with its lines.
 
     kinds holds (line_no, kind) with kind `furniture`, `split` or `misread`. Null and empty segments have an empty text
@@ -380,5 +380,4 @@ def read_scans(scans: DataFrame, key: str, segments: str, reference: DataFrame,
     patterns = learn_patterns(scans.select(F.explode(segments).alias("_segment")), "_segment")
     pairs = samples.where(F.col(raw).isNotNull() & F.col(repaired).isNotNull()).select(raw, repaired).orderBy(F.xxhash64(raw), raw).limit(SAMPLES).collect()
     reader = Reader(lexicon, patterns, train_lines([tuple(p) for p in pairs], lexicon, patterns))
-    rows = scans.select(key, F.posexplode(read_udf(spark, reader)(F.col(segments))).alias("seg", "_r"))
-    return rows.select(key, "seg", "_r.text", "_r.kinds")
+    return scans.select(key, read_udf(spark, reader)(F.col(segments)).alias("parts"), *columns)

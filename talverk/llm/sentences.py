@@ -1,16 +1,16 @@
 """Sentences of texts in many languages and scripts.
 
-Candidate boundaries are generated (terminators with what closes after them, spaces in Thai, never within quotation marks
-or brackets that are closed later, nor within numbers), and each is classified by a maximum-entropy model over its
-neighbouring tokens, their case, length, digits and script. The model is trained without labels given: boundaries
-and non-boundaries that are beyond doubt in a bounded sample serve as examples (see `_label`), and the model decides
-the doubtful ones, mostly abbreviations before a capital letter. What is known of words (how they are written, which are
-abbreviations) is counted over all texts (`corpus_counts`).
+Candidate boundaries are generated (terminators with what closes after them, spaces in Thai), and each is classified by a
+maximum-entropy model over its neighbouring tokens, their case, length, digits and script, and over what it is nested in.
+The model is trained without labels given: boundaries and non-boundaries that are beyond doubt in a bounded sample
+serve as examples (see `_label`), and the model decides the doubtful ones, mostly abbreviations before a capital letter.
+What is known of words (how they are written, which are abbreviations) is counted over all texts.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talverk.session import broadcast_if_small, written
+from talverk.session import broadcast_if_small, materialize, written
 
-#: Texts of each language in the sample from which a model is trained. A bound on the work of the driver.
-SAMPLE = 1500
+#: Texts of each language in the sample from which a model is trained, texts in all, and characters in all. A bound on the work of the driver.
+SAMPLE, TOTAL, CHARACTERS = 1500, 18_000, 15_000_000
 #: Scores remembered by a worker for each kind of part; a bound on memory.
 REMEMBER = 200_000
 #: Least share of the full stops that an abbreviation has before it, and least number. A bound on what the driver gets.
 SHARE, LEAST = 2e-6, 3
-#: Longest word that is counted: a token next to a candidate is no longer.
-LONGEST = 40
+#: Longest word that is counted or remembered, and longest token that is looked at as a whole.
+LONGEST, WHOLE = 40, 2000
+#: A quotation or bracket beyond this many characters or terminators may as well be two stray marks.
+NESTED, MARKS = 600, 12
 
 _TERM = re.compile("[.!?…。！？।॥؟۔]+")
 _CLOSERS = frozenset("\"'»«”“’)]」』）】›")
@@ -53,13 +55,40 @@ class Candidate(NamedTuple):
     next: str  # token that follows, without dashes and opening marks
     opens: bool  # such marks stand before it
     item: bool  # the sentence so far is a number or a single short token
+    nested: int = 0  # 1 within a quotation or bracket, 2 within one so long that it may be none
 
 
 def _token_before(text: str, p: int) -> str:
-    part = text[max(0, p - 40) : p]
-    if not part or part[-1].isspace():
-        return ""
-    return part.rsplit(None, 1)[-1].lstrip(_OPENERS)
+    size = LONGEST
+    while True:
+        part = text[max(0, p - size) : p]
+        if not part or part[-1].isspace():
+            return ""
+        token = part.rsplit(None, 1)[-1]
+        if len(token) < len(part) or size >= min(p, WHOLE):
+            return token.lstrip(_OPENERS)
+        size *= 4
+
+
+def _token_after(text: str, k: int) -> tuple[str, bool]:
+    """The token from k on without opening marks, and whether there were some; tokens of nothing else are passed over, two at most."""
+    size = LONGEST
+    while True:
+        part = text[k : k + size]
+        tokens = part.split(None, 3)
+        if len(tokens) > 3 or size >= min(len(text) - k, WHOLE):
+            break
+        after = next((n for n, t in enumerate(tokens[:3]) if t.lstrip(_OPENERS)), 2)
+        if len(tokens) > after + 1 or (len(tokens) == after + 1 and part[-1].isspace()):
+            break
+        size *= 4
+    opens, after = False, ""
+    for token in tokens[:3]:
+        after = token.lstrip(_OPENERS)
+        opens |= after != token
+        if after:
+            break
+    return after, opens
 
 
 def candidates(text: str, decide) -> Iterator[tuple[Candidate, bool]]:
@@ -68,6 +97,8 @@ def candidates(text: str, decide) -> Iterator[tuple[Candidate, bool]]:
     spans = [m.span() for m in _SPAN.finditer(text)] if _QUOTING.search(text) else []
     marks = [(m.start(), m.end()) for m in _TERM.finditer(text)]
     thai = [m.span() for m in _THAI.finditer(text)] if "฀" <= max(text, default="") and _THAI.search(text) else []
+    places = [p for p, _ in marks] if spans else []
+    deep = (-1, 0)
     begin = at = 0
     for p, e, space in sorted([(p, e, False) for p, e in marks] + [(p, e, True) for p, e in thai]) if thai else [(p, e, False) for p, e in marks]:
         while at < len(spans) and spans[at][1] <= p:
@@ -77,10 +108,15 @@ def candidates(text: str, decide) -> Iterator[tuple[Candidate, bool]]:
             while j < size and text[j] in _CLOSERS and not (j + 1 < size and text[j] in "\"'”»" and text[j + 1].isalnum() and not any(s < j < t for s, t in spans[at : at + 1])):
                 j += 1
         closed = "c" if j > e and not space else ""
+        nested = 0
         if at < len(spans) and spans[at][0] < p:
             if j < spans[at][1]:
-                continue  # within a quotation or bracket
-            closed = "C" if not text[begin : spans[at][0]].strip(" \n\t\r–—-") else "c"
+                a, b = spans[at]
+                if at != deep[0]:
+                    deep = at, 2 if b - a > NESTED or bisect_left(places, b) - bisect_left(places, a) > MARKS else 1
+                nested = deep[1]
+            else:
+                closed = "C" if not text[max(begin, spans[at][0] - LONGEST) : spans[at][0]].strip(" \n\t\r–—-") else "c"
         if j >= size or not text[j:].strip():
             continue  # the end of the text ends the last sentence
         if space:
@@ -92,18 +128,12 @@ def candidates(text: str, decide) -> Iterator[tuple[Candidate, bool]]:
             gap = "" if k == j else " " if k == j + 1 and text[j] != "\n" else "\n"
             if not gap:
                 c = text[j]
-                if not (c.isalpha() or c in _OPENERS) or (c.islower() or (c in _OPENERS and text[p] == ".")):
+                if text[p] not in _CASELESS_END and (not (c.isalpha() or c in _OPENERS) or c.islower() or (c in _OPENERS and text[p] == ".")):
                     continue
-        part = text[k : k + 40].split(None, 3)
-        opens, after = False, ""
-        for word in part[:3]:
-            after = word.lstrip(_OPENERS)
-            opens |= after != word
-            if after:
-                break
+        after, opens = _token_after(text, k)
         so_far = text[begin:p].strip(_OPENERS + " \n\t\r") if p - begin < 12 else "-"
         item = so_far.isdigit() or (len(so_far) <= 4 and so_far.isalpha() and so_far.isascii())
-        found = Candidate(j, _token_before(text, p), "th" if space else text[p:e], closed, gap, after, opens, item)
+        found = Candidate(j, _token_before(text, p), "th" if space else text[p:e], closed, gap, after, opens, item, nested)
         yes = decide(found)
         if yes:
             begin = k
@@ -157,7 +187,8 @@ def _after(after: str) -> list[str]:
 def _middle(c: Candidate, before: str, after: str) -> list[str]:
     term = "." if c.term == "." else "th" if c.term == "th" else "dots" if set(c.term) <= {".", "…"} else "full" if c.term[0] in _CASELESS_END else "mark"
     near = "th%d%d" % (c.prev[-1:].isdigit(), c.next[:1].isdigit()) if c.term == "th" else ""
-    return [f"t={term}{near}", f"t={term}{c.closed}", f"tn={term}{after}", f"tpn={term}{before}{after}", f"cn={c.closed}{after}", f"g={term}{c.gap}{before}{after}", f"o={c.opens}", f"i={c.item and term == '.'}{before}"]
+    nest = [f"in={c.nested}", f"in={c.nested}{term}{after}", f"in={c.nested}{c.gap}"] if c.nested else []
+    return [*nest, f"t={term}{near}", f"t={term}{c.closed}", f"tn={term}{after}", f"tpn={term}{before}{after}", f"cn={c.closed}{after}", f"g={term}{c.gap}{before}{after}", f"o={c.opens}", f"i={c.item and term == '.'}{before}"]
 
 
 class Model:
@@ -181,13 +212,17 @@ class Model:
             if len(first) > REMEMBER:
                 first.clear()
             kind = _kind_before(c.prev, self.short)
-            a = first[c.prev] = (self._sum(_before(c.prev, kind)), kind)
+            a = self._sum(_before(c.prev, kind)), kind
+            if len(c.prev) <= LONGEST:
+                first[c.prev] = a
         b = last.get(c.next)
         if b is None:
             if len(last) > REMEMBER:
                 last.clear()
-            b = last[c.next] = (self._sum(_after(c.next)), _kind_after(c.next))
-        key = (c.term, c.closed, c.gap, c.opens, c.item, a[1], b[1], c.term == "th" and (c.prev[-1:].isdigit(), c.next[:1].isdigit()))
+            b = self._sum(_after(c.next)), _kind_after(c.next)
+            if len(c.next) <= LONGEST:
+                last[c.next] = b
+        key = (c.term, c.closed, c.gap, c.opens, c.item, c.nested, a[1], b[1], c.term == "th" and (c.prev[-1:].isdigit(), c.next[:1].isdigit()))
         m = middle.get(key)
         if m is None:
             if len(middle) > REMEMBER:
@@ -268,6 +303,8 @@ class _Counts:
 def _label(c: Candidate, counts: _Counts, final: set[str]) -> bool | None:
     """Is it beyond doubt a boundary or none? `final` are abbreviations that mostly stand before an opener."""
     before, after, word = _kind_before(c.prev), _kind_after(c.next), c.next.rstrip(".,;:!?…)»”\"'")
+    if c.nested == 1:
+        return False
     if c.term == "th":
         return not (c.prev[-1:].isdigit() or c.next[:1].isdigit())
     if c.closed and (after == "lower" or (after == "caseless" and not c.gap)):
@@ -305,13 +342,13 @@ def train(texts: list[str], rounds: int = 150, counts: _Counts | None = None) ->
     counts = counts if whole else own
     seen: list[Candidate] = []
     for text in texts:
-        for c, _ in candidates(text, lambda c: c.term[0] in "!?" or c.term[0] in _CASELESS_END or (c.term == "." and counts.ordinary(c.prev))):
+        for c, _ in candidates(text, lambda c: c.nested != 1 and (c.term[0] in "!?" or c.term[0] in _CASELESS_END or (c.term == "." and counts.ordinary(c.prev)))):
             seen.append(c)
     low, all_, up = Counter(), Counter(), Counter()
     for c in seen:
-        if c.term == "." and not whole:
+        if c.term == "." and not whole and c.nested != 1:
             counts.ended[c.prev] += 1
-        if c.term == "." and not counts.ordinary(c.prev):
+        if c.term == "." and c.nested != 1 and not counts.ordinary(c.prev):
             after, word = _kind_after(c.next), c.next.rstrip(".,;:!?…)»”\"'")
             all_[c.prev.lower()] += 1
             low[c.prev.lower()] += after in ("lower", "digit")
@@ -347,58 +384,117 @@ def train(texts: list[str], rounds: int = 150, counts: _Counts | None = None) ->
     return Model({f: round(float(w[k]), 4) for f, k in names.items() if abs(w[k]) > 1e-3}, short)
 
 
-def sample_texts(df: DataFrame, key: str, text: str, group: str, size: int = SAMPLE, total: int = 12 * SAMPLE) -> list[str]:
-    """At most `size` texts of each group and `total` in all, chosen by a hash of the key, for training only."""
-    rows = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(F.col(group), F.lit("")).alias("_group"))
-    counts = broadcast_if_small(rows.groupBy("_group").agg(F.count("*").alias("_count")))  # so that no text moves before it is chosen
-    # so many texts of a group that hardly ever fewer than `size` are left, and no more are sorted
-    chance = (F.xxhash64("_key", "_text").bitwiseAND(0xFFFFFFF) / 0x10000000) * F.col("_count") < 1.2 * size + 50
-    some = rows.join(counts, "_group").where(chance)
-    order = Window.partitionBy("_group").orderBy(F.xxhash64("_key"), "_text")
-    taken = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).orderBy("_n", "_group").limit(total)
-    return [r[0] for r in taken.select("_text").collect()]
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(counts: _Counts) -> pa.RecordBatch:
-        counters = [getattr(counts, kind) for kind in _Counts.KINDS]
-        words = [w for w in set().union(*counters) if len(w) <= LONGEST]
-        words = [w for w in words if w.isascii() or not any("\ud800" <= x <= "\udfff" for x in w)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([w.lower() for w in words], pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counters)], ["word", "low", *_Counts.KINDS])
-
-    counts = _Counts()
-    for batch in batches:
-        texts = [t for t in batch.column(0).to_pylist() if t]
-        counts.add(texts)
-        for text in texts:
-            counts.ended.update(c.prev for c, _ in candidates(text, lambda c: False) if c.term == ".")
-        if len(counts.plain) + len(counts.dotted) + len(counts.ended) > REMEMBER:
-            yield rows(counts)
-            counts = _Counts()
-    yield rows(counts)
-
-
-def corpus_counts(df: DataFrame, text: str, sample: list[str], share: float = SHARE) -> _Counts:
-    """The counts over all texts, of the words of the sample and of those that have at least `share` of the full stops.
-
-    Null and empty texts have no words; repeated rows count again.
+_STUDY = "kind string, word string, low string, " + ", ".join(f"{kind} bigint" for kind in _Counts.KINDS) + ", texts bigint, place bigint"
+
+
+def _studied(whole_words: bool):
+    """Of rows (group, place, chosen, segments): counts of words (kind w), the texts of words by group (d, if asked for) and the segments of chosen texts (s)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            counters = [getattr(counts, kind) for kind in _Counts.KINDS]
+            words = [w for w in set().union(*counters) if len(w) <= LONGEST]
+            words = [w for w in words if w.isascii() or not any("\ud800" <= x <= "\udfff" for x in w)]
+            pairs, n, m, k = list(texts.items()), len(words), len(texts), len(sample)
+            columns = [
+                pa.array(["w"] * n + ["d"] * m + ["s"] * k, pa.string()),
+                pa.array(words + [w for (_, w), _ in pairs] + [t for _, _, t in sample], pa.string()),
+                pa.array([w.lower() for w in words] + [g for (g, _), _ in pairs] + [g for g, _, _ in sample], pa.string()),
+                *(pa.array([c[w] for w in words] + [0] * (m + k), pa.int64()) for c in counters),
+                pa.array([0] * n + [x for _, x in pairs] + [0] * k, pa.int64()),
+                pa.array([0] * (n + m) + [p for _, p, _ in sample], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "word", "low", *_Counts.KINDS, "texts", "place"])
+
+        counts, texts, sample = _Counts(), Counter(), []
+        for batch in batches:
+            for group, place, chosen, segments in zip(*(c.to_pylist() for c in batch.columns)):
+                segments = [t for t in segments or () if t]
+                counts.add(segments)
+                for text in segments:
+                    counts.ended.update(c.prev for c, _ in candidates(text, lambda c: False) if c.term == "." and c.nested != 1)
+                if whole_words:
+                    texts.update((group, w) for w in set().union(*map(plain_words, segments)))
+                    texts[group, ""] += any(map(str.strip, segments))
+                if chosen:
+                    sample += [(group, place, t) for t in segments]
+            if len(counts.plain) + len(counts.dotted) + len(counts.ended) + len(texts) > REMEMBER:
+                yield rows()
+                counts, texts, sample = _Counts(), Counter(), []
+        yield rows()
+
+    return run
+
+
+#: Words, and single characters of scripts that are written without spaces.
+_WORD = re.compile("[฀-๿぀-ヿ㐀-鿿豈-﫿]|[^\\W_฀-๿぀-ヿ㐀-鿿豈-﫿]+")
+
+
+def plain_words(text: str) -> list[str]:
+    """The words that begin with a letter that is no capital."""
+    return [w for w in _WORD.findall(text) if w[0].islower() or (w[0].isalpha() and not w[0].isupper() and not w[0].istitle())]
+
+
+class Study(NamedTuple):
+    """What one pass over the texts of a corpus tells: counts of words, texts of words by group, and a sample of segments."""
+
+    table: DataFrame
+
+    def sample(self) -> list[str]:
+        """At most TOTAL segments of at most CHARACTERS, of each group the first SAMPLE texts by a hash of their keys."""
+        rows = self.table.where("kind = 's'").select(F.col("low").alias("_group"), F.col("place").alias("_place"), F.col("word").alias("_text"))
+        order = Window.partitionBy("_group").orderBy("_place", "_text")
+        ranked = rows.withColumn("_n", F.dense_rank().over(Window.partitionBy("_group").orderBy("_place"))).where(F.col("_n") <= SAMPLE)
+        ranked = ranked.withColumn("_k", F.row_number().over(order)).orderBy("_k", "_group").limit(TOTAL)
+        out, size = [], 0
+        for row in ranked.select("_text").toLocalIterator():
+            size += len(row[0])
+            if size > CHARACTERS:
+                break
+            out.append(row[0])
+        return out
+
+    def counts(self, sample: list[str], share: float = SHARE) -> _Counts:
+        """The counts over all texts, of the words of the sample and of those that have at least `share` of the full stops."""
+        words = self.table.where("kind = 'w'").groupBy("word", "low").agg(*[F.sum(kind).alias(kind) for kind in _Counts.KINDS])
+        words = materialize(words)
+        counts = _Counts()
+        counts.least = max(LEAST, share * (words.agg(F.sum("ended")).first()[0] or 0))
+        own = _Counts(sample)
+        for t in sample:
+            own.ended.update(p for c, _ in candidates(t, lambda c: False) for p in (c.prev, c.next.rstrip(".,;:!?…)»”\"'")))
+        lows = sorted({w.lower() for kind in _Counts.KINDS for w in getattr(own, kind) if len(w) <= LONGEST})
+        frequent = words.groupBy("low").agg(F.sum("ended").alias("_n")).where(F.col("_n") >= counts.least).select("low")
+        wanted = frequent.union(self.table.sparkSession.createDataFrame([(w,) for w in lows], "low string")).distinct()
+        for row in words.join(wanted, "low", "left_semi").select("word", *_Counts.KINDS).toLocalIterator():
+            for kind in _Counts.KINDS:
+                if row[kind]:
+                    getattr(counts, kind)[row["word"]] = row[kind]
+        return counts
+
+    def model(self) -> Model:
+        """Weights from the sample, what is known of words from all texts."""
+        sample = self.sample()
+        return train(sample, counts=self.counts(sample))
+
+    def frequencies(self) -> DataFrame:
+        """(group, word, texts): in how many texts of its group each plain word occurs, and under the empty word the texts that aren't blank."""
+        return self.table.where("kind = 'd'").groupBy(F.col("low").alias("group"), "word").agg(F.sum("texts").alias("texts"))
+
+
+def study(df: DataFrame, key: str, segments: str, group: str, *, words: bool = False, wide: DataFrame | None = None) -> Study:
+    """One pass over all texts (arrays of segments); with `words` also the texts of each plain word by group.
+
+    Null and empty segments have no words; repeated rows count again. The texts of the sample are chosen in the same
+    pass, by a hash of the key and the number of rows of the group, which is counted on the group alone. `wide` may hold
+    the same rows over more tasks.
     """
-    sums = [F.sum(kind).alias(kind) for kind in _Counts.KINDS]
-    kinds = ", ".join(f"{kind} bigint" for kind in _Counts.KINDS)
-    words = written(df.select(text).mapInArrow(_counted, f"word string, low string, {kinds}").groupBy("word", "low").agg(*sums))
-    counts = _Counts()
-    counts.least = max(LEAST, share * (words.agg(F.sum("ended")).first()[0] or 0))
-    own = _Counts(sample)
-    for t in sample:
-        own.ended.update(p for c, _ in candidates(t, lambda c: False) for p in (c.prev, c.next.rstrip(".,;:!?…)»”\"'")))
-    lows = sorted({w.lower() for kind in _Counts.KINDS for w in getattr(own, kind) if len(w) <= LONGEST})
-    frequent = words.groupBy("low").agg(F.sum("ended").alias("_n")).where(F.col("_n") >= counts.least).select("low")
-    wanted = frequent.union(df.sparkSession.createDataFrame([(w,) for w in lows], "low string")).distinct()
-    for row in words.join(wanted, "low", "left_semi").select("word", *_Counts.KINDS).toLocalIterator():
-        for kind in _Counts.KINDS:
-            if row[kind]:
-                getattr(counts, kind)[row["word"]] = row[kind]
-    return counts
+    name = F.coalesce(F.col(group), F.lit("")).alias("_group")
+    sizes = broadcast_if_small(df.select(name).groupBy("_group").agg(F.count("*").alias("_size")))
+    rows = (df if wide is None else wide).select(name, F.xxhash64(key).alias("_place"), F.col(segments).alias("_segments")).join(sizes, "_group")
+    # so many texts of a group that hardly ever fewer than SAMPLE are chosen
+    chosen = (F.col("_place").bitwiseAND(0xFFFFFFF) / 0x10000000) * F.col("_size") < 1.2 * SAMPLE + 50
+    return Study(written(rows.select("_group", "_place", chosen.alias("_chosen"), "_segments").mapInArrow(_studied(words), _STUDY)))
 
 
 def ends_udf(model: Model):
@@ -414,14 +510,33 @@ def ends_udf(model: Model):
     return ends
 
 
-def sentence_ends(df: DataFrame, key: str, segments: str, version: str, model: Model) -> DataFrame:
+def sentence_ends(df: DataFrame, key: str, segments: str, model: Model) -> DataFrame:
     """(key, seg, char_end): a row for each sentence of each segment of the texts (arrays of strings).
 
-    seg counts from 0, also over null and empty segments, which have no rows, as null and empty arrays have none. Of
-    rows with the same key the one with the latest `version` counts; rows with a null key are left out. What follows the
-    last terminator of a segment is a sentence too.
+    seg counts from 0, also over null and empty segments, which have no rows, as null and empty arrays have none. What
+    follows the last terminator of a segment is a sentence too. Rows with the same key have rows of their own.
     """
-    found = df.where(F.col(key).isNotNull()).select(key, version, ends_udf(model)(F.col(segments)).alias("_ends"))
-    latest = found.groupBy(key).agg(F.max(F.struct(F.col(version), F.col("_ends"))).alias("_last"))
-    rows = latest.select(key, F.posexplode("_last._ends").alias("seg", "_e"))
+    rows = df.select(key, F.posexplode(ends_udf(model)(F.col(segments))).alias("seg", "_e"))
     return rows.select(key, "seg", F.explode("_e").alias("char_end"))
+
+
+def sentences(df: DataFrame, key: str, segments: str, model: Model) -> DataFrame:
+    """(key, seg, n, char_end, sentence): the sentences themselves, numbered from 0 within their segment, without white space at either end."""
+    kind = pa.list_(pa.list_(pa.struct([("char_end", pa.int32()), ("sentence", pa.string())])))
+    weights, short = model.weights, model.short
+    made: list[Model] = []
+
+    @F.arrow_udf("array<array<struct<char_end:int,sentence:string>>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(Model(weights, short))
+        rows = []
+        for segments in texts.to_pylist():
+            rows.append([])
+            for t in segments or ():
+                ends = made[0].ends(t)
+                rows[-1].append([{"char_end": e, "sentence": t[b:e].strip()} for b, e in zip([0, *ends], ends)])
+        return pa.array(rows, kind)
+
+    rows = df.select(key, F.posexplode(cut(F.col(segments))).alias("seg", "_s"))
+    return rows.select(key, "seg", F.posexplode("_s").alias("n", "_x")).select(key, "seg", "n", "_x.char_end", "_x.sentence")

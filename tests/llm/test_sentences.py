@@ -55,27 +55,61 @@ def test_scripts_and_edges():
     assert Z.train([]).ends("A b. C d.") == [4, 9]
 
 
+def test_nesting_is_weighed_and_not_a_rule():
+    model = Z.train([t for t, _ in corpus(600, 5)])
+    # two stray marks far apart: all but a few of the 52 sentences come out
+    text = 'Herr talman, "det är sant. ' + "Vi ser väg och bro. Jag går till hus. " * 25 + 'Vi tar bro" nu.'
+    assert len(parts(text, model)) >= 50
+    assert parts("Herr Ek sade: ”Vi ser väg! Jag går.” och satte sig. Vi ser bro.", model) == ["Herr Ek sade: ”Vi ser väg! Jag går.” och satte sig.", "Vi ser bro."]
+
+
+def test_whole_tokens():
+    link = "https://exempel.se/" + "a/" * 40 + "Sida"
+    seen = []
+    list(Z.candidates(f"Se {link}. Vi ser {link} här. {link} finns.", lambda c: seen.append(c) or True))
+    assert [c.prev for c in seen] == [link, "här"] and seen[1].next == link
+    model = Z.train([])
+    assert model.ends("A." * 100_000)[-1] == 200_000 and model.ends("x. " * 50_000)[-1] == 149_999
+    assert not any(len(x) > Z.LONGEST for known in model.known[:2] for x in known)
+
+
+def test_full_stops_before_digits_and_marks():
+    model = Z.train(["議長は求めています。見直します。年金を延期しました。"] * 20)
+    assert parts("改正しました。2019年に延期しました。《年金》です。", model) == ["改正しました。", "2019年に延期しました。", "《年金》です。"]
+
+
 def test_rows(spark):
-    rows = [("a", ["Vi ser. Jag går.", None, ""], "sv", 1), ("a", ["Vi ser. Jag går.", None, ""], "sv", 2), ("b", None, None, 1), ("c", [], "sv", 1), (None, ["x."], "sv", 1), ("d", ["utan"], None, 1)]
+    rows = [("a", ["Vi ser. Jag går.", None, ""], "sv", 1), ("b", None, None, 1), ("c", [], "sv", 1), ("d", ["utan"], None, 1)]
     df = spark.createDataFrame(rows, "u_id string, text array<string>, lang string, v int").selectExpr("*", "0 as seg")
     model = Z.train([])
-    got = sorted(map(tuple, Z.sentence_ends(df, "u_id", "text", "v", model).collect()))
+    got = sorted(map(tuple, Z.sentence_ends(df, "u_id", "text", model).collect()))
     assert got == [("a", 0, 7), ("a", 0, 16), ("d", 0, 4)]
-    assert Z.sentence_ends(df.limit(0), "u_id", "text", "v", model).count() == 0
-    sample = Z.sample_texts(df.selectExpr("u_id", "explode(text) as s", "lang"), "u_id", "s", "lang", size=2)
-    assert len(sample) == 3 and "utan" in sample
-    assert Z.sample_texts(df.limit(0).selectExpr("u_id", "lang as s", "lang"), "u_id", "s", "lang") == []
+    cut = sorted(map(tuple, Z.sentences(df, "u_id", "text", model).collect()))
+    assert cut == [("a", 0, 0, 7, "Vi ser."), ("a", 0, 1, 16, "Jag går."), ("d", 0, 0, 4, "utan")]
+    assert Z.sentence_ends(df.limit(0), "u_id", "text", model).count() == 0 and Z.sentences(df.limit(0), "u_id", "text", model).count() == 0
+    assert sorted(Z.study(df, "u_id", "text", "lang").sample()) == ["Vi ser. Jag går.", "utan"]
+    assert Z.study(df.limit(0), "u_id", "text", "lang").sample() == []
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(Z, "SAMPLE", 20)
+    df = spark.createDataFrame([(k, [f"text {k}", "mer"], "sv" if k % 10 else "en") for k in range(2000)], "u_id long, text array<string>, lang string")
+    sample = Z.study(df, "u_id", "text", "lang").sample()
+    assert len(sample) == 80 and sample == Z.study(df.repartition(7), "u_id", "text", "lang").sample()
+    monkeypatch.setattr(Z, "CHARACTERS", 100)
+    assert 0 < sum(map(len, Z.study(df, "u_id", "text", "lang").sample())) <= 100
 
 
 def test_abbreviations_come_from_all_texts(spark):
     sample = [t for t, _ in corpus(300, 4)]
     rest = [f"Man ser fördr. {p} och hus. Vi ser bro." for p in PLACES] * 10
-    df = spark.createDataFrame([(t,) for t in [*sample, *rest, None, "", "x" * 100_000]], "segment string")
-    counts = Z.corpus_counts(df, "segment", sample)
+    rows = [(k, [t]) for k, t in enumerate([*sample, *rest, None, "", "x" * 100_000])]
+    seen = Z.study(spark.createDataFrame(rows, "u_id long, text array<string>").selectExpr("*", "'sv' as lang"), "u_id", "text", "lang")
+    counts = seen.counts(sample)
     whole = Z._Counts([*sample, *rest])
     assert counts.dotted["fördr"] == 40 and "fördr" not in Z.train(sample).short
     assert all(counts.plain[w] == whole.plain[w] and counts.inner[w] == whole.inner[w] and counts.opening[w] == whole.opening[w] for w in Z._Counts(sample).plain)
     model = Z.train(sample, counts=counts)
     assert "fördr" in model.short and "bl.a" in model.short and "bro" not in model.short
     assert parts("Man ser fördr. Lövby och hus. Vi ser bro.", model) == ["Man ser fördr. Lövby och hus.", "Vi ser bro."]
-    assert Z.corpus_counts(df.limit(0), "segment", []).abbreviations() == frozenset()
+    assert Z.Study(seen.table.limit(0)).counts([]).abbreviations() == frozenset()
