@@ -64,8 +64,8 @@ def _repaired(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """(u_id, parts, columns…) of each scanned speech."""
     speeches = table(spark, folder, "speech_index").select("u_id", "loaded_at", "text", "capture", *columns)
     rows = speeches.where("capture = 'scan'").select("u_id", "loaded_at", "text", *columns)
-    reference = spread(speeches.where("capture = 'digital'").select(F.array_join("text", "\n").alias("text")))
-    return scans.read_scans(latest(rows), "u_id", "text", reference, "text", table(spark, folder, "scan_sample"), "raw", "repaired", columns)
+    corpus = spread(speeches.where("capture in ('scan', 'digital') and text is not null").select((F.col("capture") == "scan").alias("scanned"), "text"))
+    return scans.read_scans(latest(rows), "u_id", "text", corpus, table(spark, folder, "scan_sample"), "raw", "repaired", columns)
 
 
 def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
