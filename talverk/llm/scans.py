@@ -31,7 +31,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +45,9 @@ SAMPLES = 500
 #: Parts of compounds begin or end at least this many words of the lexicon.
 PART = 4
 #: Size of the vectors, words on either side, and the share of the tokens beyond which words are thinned out for training.
-SIZE, WINDOW, THIN = 16, 2, 1e-4
+SIZE, WINDOW, THIN = 16, 2, 1e-5
+#: Characters whose lines are looked at together; a bound on memory.
+CHUNK = 1_000_000
 #: Tokens for one partition of the training.
 TRAIN = 2_000_000
 #: Links kept for a rare word, and rare words whose vectors a task collects before it hands them on.
@@ -75,10 +76,33 @@ Link = tuple[str, int, float]  # the right form, the place of the edit, and how
 
 
 def line_patterns(lines: pa.Array) -> np.ndarray:
-    """Hashes of lines with their numbers (also misread ones) as 9 and single spaces."""
-    masked = pc.replace_substring_regex(lines, r"\b[0-9IlOoЗSB|]*[0-9][0-9IlOoЗSB|]*\b", "9")
-    masked = pc.utf8_trim_whitespace(pc.replace_substring_regex(masked, r"\s+", " "))
-    return pd.util.hash_array(masked.to_numpy(zero_copy_only=False), categorize=False).view(np.int64)
+    """Hashes of lines (without white space at either end) with their numbers (also misread ones) as 9 and single spaces."""
+    texts = lines.to_numpy(zero_copy_only=False)
+    numbers = pc.match_substring_regex(lines, "[0-9]").to_numpy(zero_copy_only=False)
+    wide = pc.match_substring_regex(lines, r"\s\s|[\t\r\f\v]").to_numpy(zero_copy_only=False)
+    if (numbers | wide).any():
+        masked = pc.replace_substring_regex(lines.filter(pa.array(numbers | wide)), r"\b[0-9IlOoЗSB|]*[0-9][0-9IlOoЗSB|]*\b", "9")
+        texts = texts.copy()
+        texts[numbers | wide] = pc.replace_substring_regex(masked, r"\s+", " ").to_numpy(zero_copy_only=False)
+    return pd.util.hash_array(texts, categorize=False).view(np.int64)
+
+
+#: What a character is: bits for digit, letter, capital, small letter, white space, mark around a number, opening and closing bracket, end of a sentence, mark, break.
+DIGIT, LETTER, CAPITAL, SMALL, SPACE, AROUND, OPENS, CLOSES, ENDS, MARK, BREAK = (1 << k for k in range(11))
+
+
+def _classes() -> np.ndarray:
+    """The bits of the characters up to U+2FFF, and last those that stand for the rest."""
+    out = np.zeros(0x3001, np.int16)
+    for k in range(0x3000):
+        c = chr(k)
+        out[k] = DIGIT * c.isdigit() | LETTER * c.isalpha() | CAPITAL * c.isupper() | SMALL * c.islower() | SPACE * c.isspace() | AROUND * (c in "[]—–-.,()")
+        out[k] |= OPENS * (c == "(") | CLOSES * (c == ")") | ENDS * (c in ".!?") | MARK * (c in ".!?,;:") | BREAK * (c in BREAKS)
+    out[0x3000] = LETTER
+    return out
+
+
+_CLASSES: list[np.ndarray] = []
 
 
 class Lexicon:
@@ -200,49 +224,52 @@ def weigh_edits(samples: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
 
 
 def line_features(texts: list[str], lexicon: Lexicon, patterns: dict[int, float]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """The lines of each text, and of each line that isn't blank its text, its number and its features; all texts at once."""
-    lists = pc.split_pattern(pa.array(texts, pa.string()), "\n")
-    raw, text = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
-    number = np.arange(len(raw)) - lists.offsets.to_numpy()[text]
-    line = pc.utf8_trim_whitespace(raw)
-    there = pc.greater(pc.utf8_length(line), 0)
-    kept = there.to_numpy(zero_copy_only=False)
-    raw, line, text_of, line_of = raw.filter(there), line.filter(there), text[kept], number[kept]
-    n = len(line)
-    floats = lambda x: np.asarray(x.to_numpy(zero_copy_only=False), float)
-    count = lambda pattern: floats(pc.count_substring_regex(line, pattern))
-    is_ = lambda pattern, x=line: floats(pc.match_substring_regex(x, pattern))
+    """The lines of each text, and of each line that isn't blank the number of its text, its own and its features; all texts at once."""
+    if not _CLASSES:
+        _CLASSES.append(_classes())
+    lines = [t.split("\n") for t in texts]
+    text = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    number = np.concatenate([np.arange(len(x)) for x in lines]) if lines else np.zeros(0, np.int64)
+    all_lines = [line for x in lines for line in x]
+    bare = [line.strip() for line in all_lines]
+    kept = np.array([bool(x) for x in bare], bool)
+    text, number, own = text[kept], number[kept], [x for x in bare if x]
+    n = len(own)
+    if not n:
+        return lines, text, number, np.zeros((0, 23))
+    code = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+    bits = _CLASSES[0][np.minimum(code, 0x3000)]
+    length = np.array([len(x) for x in own])
+    begin = np.concatenate(([0], np.cumsum(length)[:-1]))
+    first, last = bits[begin], bits[begin + length - 1]
+    before_last = np.where(length > 1, bits[begin + np.maximum(length - 2, 0)], 0)
+    count = lambda bit: np.add.reduceat((bits & bit) > 0, begin, dtype=np.int64)
+    is_ = lambda x, bit: ((x & bit) > 0).astype(float)
+    digits, letters, solid = count(DIGIT), count(LETTER), length - count(SPACE)
+    line = pa.array(own, pa.string())
     words = pc.utf8_split_whitespace(line)
     of, word = pc.list_parent_indices(words).to_numpy(), words.flatten()
     number_of = lambda mask: np.bincount(of[mask], minlength=n).astype(float)
-    single = pc.equal(pc.utf8_length(word), 1).to_numpy(zero_copy_only=False)
-    core = pc.utf8_lower(pc.utf8_trim(word, _EDGES + BREAKS))
-    alphabetic = pc.and_(pc.utf8_is_alpha(core), pc.greater(pc.utf8_length(core), 1)).to_numpy(zero_copy_only=False)
-    coded = core.dictionary_encode()
-    good = np.array([w in lexicon.words or (w.isalpha() and lexicon.valid(w)) for w in coded.dictionary.to_pylist()], bool)
-    good = good[coded.indices.to_numpy()] if len(word) else np.zeros(0, bool)
+    coded = word.dictionary_encode()
+    cores = [w.strip(_EDGES + BREAKS).lower() for w in coded.dictionary.to_pylist()]
+    at = coded.indices.to_numpy()
+    alphabetic = np.array([len(w) > 1 and w.isalpha() for w in cores], bool)[at]
+    good = np.array([len(w) > 1 and w.isalpha() and lexicon.valid(w) for w in cores], bool)[at]
+    single = np.array([len(w) == 1 for w in coded.dictionary.to_pylist()], bool)[at]
     all_words, alpha = number_of(slice(None)), number_of(alphabetic)
-    closed = pc.replace_substring_regex(line, r"\s+", "")
-    solid = np.maximum(floats(pc.utf8_length(closed)), 1)
-    digits, letters = count(r"\p{Nd}"), count(r"\p{L}")
-    bare = floats(pc.utf8_length(pc.utf8_trim(closed, "[]—–-.,()")))
-    ends, small = is_(r"[.!?]$"), is_(r"^\p{Ll}")
-    same_before, same_after = np.zeros(n, bool), np.zeros(n, bool)
-    if n:
-        same_before[1:] = same_after[:-1] = text_of[1:] == text_of[:-1]
-    open_before = same_before & (np.roll(ends, 1) == 0)
-    small_after = same_after & (np.roll(small, -1) > 0)
-    share = np.array([patterns.get(h, 0.0) for h in line_patterns(line).tolist()]) if n else np.zeros(0)
-    begins_digit = is_(r"^\p{Nd}")
+    ends, small, marked, digit_first = is_(last, ENDS), is_(first, SMALL), is_(last, MARK), is_(first, DIGIT)
+    same = np.concatenate((text[1:] == text[:-1], [False]))  # does a line of the same text follow?
+    open_before = np.concatenate(([False], same[:-1] & (ends[:-1] == 0)))
+    small_after = same & (np.roll(small, -1) > 0)
+    share = np.log1p(1e4 * np.array([patterns.get(h, 0.0) for h in line_patterns(line).tolist()]))
+    closing = code[begin + length - 1] == ord("]")
     columns = [
-        np.ones(n), np.log1p(share * 1e4) * (1 - small), np.log1p(share * 1e4) * small, ((digits > 0) & (digits == bare)) * (1 - ends), digits / solid, is_(r"[\p{Nd}\]]$"), (letters > 6) * (count(r"\p{Lu}") == letters),
-        (all_words >= 5) * (number_of(single) > 0.7 * all_words), small, begins_digit * (all_words > 1), np.where(alpha > 0, number_of(alphabetic & good) / np.maximum(alpha, 1), 0.5),
-        is_("   "), is_("\f", raw), is_(r"\.\)$"), ends, ends * (digits > 0.4 * solid), np.minimum(floats(pc.utf8_length(line)), 60) / 60, is_("\\p{L}[" + re.escape(BREAKS) + "]$"),
-        open_before & small_after, small * (digits == 0), small * is_(r"[.!?,;:]$"), begins_digit * is_(r"[.!?,;:]$"), count(r"\)") > count(r"\("),
+        np.ones(n), share * (1 - small), share * small, ((digits > 0) & (digits == solid - count(AROUND))) * (1 - ends), digits / solid, np.maximum(is_(last, DIGIT), closing), (letters > 6) * (count(CAPITAL) == letters),
+        (all_words >= 5) * (number_of(single) > 0.7 * all_words), small, digit_first * (all_words > 1), np.where(alpha > 0, number_of(good) / np.maximum(alpha, 1), 0.5),
+        np.array(["   " in x for x in own]), np.array(["\f" in x for x, k in zip(all_lines, kept) if k]), is_(last, CLOSES) * is_(before_last, ENDS), ends, ends * (digits > 0.4 * solid), np.minimum(length, 60) / 60,
+        is_(last, BREAK) * is_(before_last, LETTER), open_before & small_after, small * (digits == 0), small * marked, digit_first * marked, count(CLOSES) > count(OPENS),
     ]
-    bounds = lists.offsets.to_numpy()
-    all_lines = lists.flatten().to_pylist()
-    return [all_lines[a:b] for a, b in zip(bounds[:-1], bounds[1:])], text_of, line_of, np.column_stack(columns).astype(float) if n else np.zeros((0, len(columns)))
+    return lines, text, number, np.column_stack(columns).astype(float)
 
 
 def sample_lines(raw: str, repaired: str) -> tuple[list[str], list[bool | None]]:
@@ -334,12 +361,20 @@ class Reader:
     def __init__(self, lexicon: Lexicon, patterns: dict[int, float], weights: np.ndarray, links: dict[str, list[Link]] | None = None):
         self.lexicon, self.patterns, self.weights, self.links = lexicon, patterns, weights, links
 
-    def pages(self, texts: list[str | None]) -> list[Page | None]:
-        """The pages of texts; none for a null or blank one."""
+    def pages(self, texts: list[str | None]) -> Iterator[Page | None]:
+        """The pages of texts, None for a null or blank one; the lines of about CHUNK characters are classified at once."""
+        part, size = [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size > CHUNK:
+                yield from self._pages(part)
+                part, size = [], 0
+        yield from self._pages(part)
+
+    def _pages(self, texts: list[str | None]) -> list[Page | None]:
         there = [k for k, t in enumerate(texts) if t and t.strip()]
         out: list[Page | None] = [None] * len(texts)
-        if not there:
-            return out
         own = [texts[k] for k in there]
         furniture: dict[int, set[int]] = {}
         if len(self.weights) == 1:
@@ -470,6 +505,8 @@ class Corpus:
 
     def vectors(self, training: DataFrame) -> dict[str, np.ndarray]:
         """Skip-gram vectors of length 1 of the words that are frequent enough, of the reference and the scans."""
+        from pyspark.ml.feature import Word2Vec  # for the driver only
+
         size, cores = training.agg(F.sum(F.size("tokens"))).first()[0] or 0, training.sparkSession.sparkContext.defaultParallelism
         least = max(self.least, 2)
         if not size or training.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least).limit(2).count() < 2:
@@ -557,7 +594,7 @@ def _reader_udfs(spark: Any, reader: Reader):
 
     def by_row(texts: pa.Array, f) -> list[list]:
         segments = texts.to_pylist()
-        pages = iter(own().pages([t for row in segments for t in row or ()]))  # all lines of a batch at once
+        pages = own().pages([t for row in segments for t in row or ()])
         return [[f(k, next(pages)) for _ in row or ()] for k, row in enumerate(segments)]
 
     @F.arrow_udf("array<struct<kinds:array<struct<line_no:int,kind:string>>,text:string>>")
