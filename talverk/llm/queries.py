@@ -94,8 +94,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """The pieces of each document above 1,024 tokens."""
-    return splitting.split_oversized(documents(spark, folder), "doc_id", "text", 1024, 64)
+    """The pieces of each document above 1,024 tokens, with sentences learned from the documents that may be so long."""
+    long = table(spark, folder, "documents").select("doc_id", "lang", F.array("text").alias("text")).where(F.octet_length(F.col("text")[0]) > 1024)
+    model = sentences.study(long, "doc_id", "text", "lang", wide=spread(long)).model()
+    return splitting.split_oversized(documents(spark, folder), "doc_id", "text", 1024, 64, model=model)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

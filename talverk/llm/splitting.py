@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talverk.llm.sentences import Model
 from talverk.llm.tokenizer import BYTE_BPE_50K, TOKENIZERS, encoder
 
 #: The separators of each level, coarse to fine. A cut lies at the end of the group that matched, before white space.
@@ -20,16 +21,27 @@ _ENDS = (
     re.compile(r"([.!?…؟۔।॥]+[)\]}»«”“’\"']*)(?=\s)|([。！？]+[）」』】”’]*)|()[^\S\n]*\n|(?<=[฀-๿])() "),
     re.compile(r"()\s+|([、，；：])"),
 )
-_SPLITS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("char_begin", pa.int32()), ("char_end", pa.int32()), ("cut", pa.string())]))
+_LINE_END = re.compile(r"[^\S\n]*\n\s*")
+_SPLITS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("char_begin", pa.int32()), ("char_end", pa.int32()), ("cut", pa.string()), ("text", pa.string())]))
 
 
 class Splitter:
-    def __init__(self, folder: str, file: str):
-        self.own = encoder(folder, file)
+    """Sentences end where the model says so, and at the ends of lines that don't go on with a small letter; without a model where a pattern does."""
+
+    def __init__(self, folder: str, file: str, model: Model | None = None):
+        self.own, self.model = encoder(folder, file), model
         self.widths = np.zeros(max(self.own.ranks.values()) + 1, np.int64)
         for token, rank in self.own.ranks.items():
             self.widths[rank] = len(token)
 
+    def ends(self, text: str, lo: int, hi: int, level: int) -> np.ndarray:
+        """Places within text[lo:hi] at which a group of this level ends."""
+        if level != LEVELS.index("sentence") or self.model is None:
+            return np.array([m.end(m.lastindex) for m in _ENDS[level].finditer(text, lo, hi)], np.int64)
+        part = text[lo:hi]
+        lines = [m.start() for m in _LINE_END.finditer(part) if m.end() < len(part) and not part[m.end()].islower()]
+        return np.unique(np.array([*self.model.ends(part), *lines], np.int64)) + lo
+
     def split(self, text: str | None, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
         """(begin, end, char_begin, char_end, cut) of each piece, as places in the ids and in the text; none for a text of at most `limit` tokens."""
         if not text or (len(text) <= limit and len(text.encode("utf-8", "replace")) <= limit):  # a token has at least one byte
@@ -49,7 +61,7 @@ class Splitter:
             if level == len(LEVELS) - 1:
                 return (np.flatnonzero(clean[begin + 1 : end]) + begin + 1).tolist()
             lo, hi = int(at_char[begin]), int(at_char[end])
-            where = np.array([m.end(m.lastindex) for m in _ENDS[level].finditer(text, lo, hi)], np.int64)
+            where = self.ends(text, lo, hi, level)
             k = np.searchsorted(at_char, where, "right") - 1  # boundaries within the character before count the same, the clean one is last
             k = k[(k > begin) & (k < end)]
             return np.unique(k[np.isin(at_char[k], where) & clean[k]]).tolist()
@@ -83,30 +95,31 @@ class Splitter:
         return out
 
 
-def pieces_udf(limit: int, overlap: int, folder: str, file: str):
+def pieces_udf(limit: int, overlap: int, folder: str, file: str, model: Model | None):
+    state = None if model is None else (model.weights, model.short)
     made: list[Splitter] = []
+    names = ("begin", "end", "char_begin", "char_end", "cut", "text")
 
-    @F.arrow_udf("array<struct<begin:int,end:int,char_begin:int,char_end:int,cut:string>>")
+    @F.arrow_udf("array<struct<begin:int,end:int,char_begin:int,char_end:int,cut:string,text:string>>")
     def pieces(texts: pa.Array) -> pa.Array:
         if not made:
-            made.append(Splitter(folder, file))
-        names = ("begin", "end", "char_begin", "char_end", "cut")
-        return pa.array([[dict(zip(names, p)) for p in made[0].split(t, limit, overlap)] for t in texts.to_pylist()], _SPLITS)
+            made.append(Splitter(folder, file, state and Model(*state)))
+        return pa.array([[dict(zip(names, (*p, t[p[2] : p[3]]))) for p in made[0].split(t, limit, overlap)] for t in texts.to_pylist()], _SPLITS)
 
     return pieces
 
 
-def split_oversized(df: DataFrame, key: str, text: str, limit: int = 1024, overlap: int = 64, folder: str = TOKENIZERS, file: str = BYTE_BPE_50K) -> DataFrame:
+def split_oversized(df: DataFrame, key: str, text: str, limit: int = 1024, overlap: int = 64, folder: str = TOKENIZERS, file: str = BYTE_BPE_50K, model: Model | None = None) -> DataFrame:
     """(key, piece, begin, end, char_begin, char_end, cut, text) of the pieces of each text of more than `limit` tokens.
 
     A text is divided at sections; a section that is too long at paragraphs, these at sentences, at words, at characters.
+    Sentences are those of `model`, a model of sentence boundaries, or of a plain pattern where none is given.
     The units are packed in order: a piece takes as many whole units as fit, and begins with the last `overlap` tokens of
     the piece before. begin and end are places in the ids of the text, cut is the level at which the piece ends. Pieces
     without their overlap make up the text exactly. Texts within the limit, null and empty ones have no pieces.
-    A row with the key of another has pieces of its own. Nothing is shuffled.
+    A row with the key of another has pieces of its own. Nothing is shuffled, and only the pieces leave the worker.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be below the limit")
-    found = df.select(F.col(key), F.col(text).alias("_text"), pieces_udf(limit, overlap, folder, file)(F.col(text)).alias("_pieces")).where(F.size("_pieces") > 0)
-    rows = found.select(key, "_text", F.posexplode("_pieces").alias("piece", "_p"))
-    return rows.select(key, "piece", "_p.*", F.expr("substring(_text, _p.char_begin + 1, _p.char_end - _p.char_begin)").alias("text"))
+    found = df.select(F.col(key), F.posexplode(pieces_udf(limit, overlap, folder, file, model)(F.col(text))).alias("piece", "_p"))
+    return found.select(key, "piece", "_p.*")

@@ -1,5 +1,7 @@
 import random
+import time
 
+from talverk.llm import sentences as Z
 from talverk.llm import splitting, tokenizer
 from talverk.llm.tokenizer import BYTE_BPE_50K, TOKENIZERS, Encoder, encoder
 
@@ -79,6 +81,31 @@ def test_cuts_after_characters_of_several_tokens():
         assert {p[4] for p in pieces[:-1]} == {"sentence"} and all(text[: p[3]].endswith(stop) for p in pieces), sentence
 
 
+def test_sentences_of_the_model():
+    text = " ".join(["Vi ser t.ex. vägar enl. beslut nr. 3. Det är sant."] * 80)
+    model = Z.Model({"t=.": 1.0, "p=t.ex": -3.0, "p=enl": -3.0, "p=nr": -3.0, "nk=lower": -3.0})
+    own = splitting.Splitter(TOKENIZERS, BYTE_BPE_50K, model)
+    pieces = own.split(text, 100, 10)
+    assert {p[4] for p in pieces[:-1]} == {"sentence"} and all(text[: p[3]].endswith(("3.", "sant.")) for p in pieces)
+    plain = splitting.Splitter(TOKENIZERS, BYTE_BPE_50K)
+    assert any(text[: p[3]].endswith(("t.ex.", "enl.", "nr.")) for limit in range(20, 60) for p in plain.split(text, limit, 2))  # as a pattern has it
+    assert not any(text[: p[3]].endswith(("t.ex.", "enl.", "nr.")) for limit in range(40, 80) for p in own.split(text, limit, 2))
+    lines = "\n".join(["Namn\t1904\t12,5", "som går vidare"] * 60)  # a line that goes on in small letters is no end
+    assert all(lines[p[3] :].startswith("\nNamn") for p in own.split(lines, 100, 10)[:-1])
+
+
+def test_long_texts_take_linear_time():
+    text = "Detta är en mening om ingenting alls. " * 270_000  # 10 MB
+    own = splitting.Splitter(TOKENIZERS, BYTE_BPE_50K, Z.Model({"t=.": 1.0}))
+    took = []
+    for size in (len(text) // 8, len(text)):
+        began = time.process_time()
+        pieces = own.split(text[:size], 1024, 64)
+        took.append(time.process_time() - began)
+        assert len(pieces) > size / 8000
+    assert took[1] < 20 * took[0] + 1
+
+
 def test_split_oversized(spark):
     rows = [(1, "ord " * 300), (1, "ord " * 300), (2, "kort"), (3, ""), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "2 as begin")
