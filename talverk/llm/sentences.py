@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from talverk.session import broadcast_if_small, materialize, written
 
 #: Texts of each language in the sample from which a model is trained, texts in all, and characters in all. A bound on the work of the driver.
-SAMPLE, TOTAL, CHARACTERS = 1500, 18_000, 15_000_000
+SAMPLE, TOTAL, CHARACTERS = 1500, 18_000, 3_000_000
 #: Scores remembered by a worker for each kind of part; a bound on memory.
 REMEMBER = 200_000
 #: Least share of the full stops that an abbreviation has before it, and least number. A bound on what the driver gets.
 SHARE, LEAST = 2e-6, 3
+#: Characters whose words are counted together; a bound on memory.
+CHUNK = 1_000_000
 #: Longest word that is counted or remembered, and longest token that is looked at as a whole.
 LONGEST, WHOLE = 40, 2000
 #: A quotation or bracket beyond this many characters or terminators may as well be two stray marks.
@@ -42,6 +44,7 @@ _SPAN = re.compile(
     r"\([^()]*\)|\[[^\[\]]*\]|（[^（）]*）|「[^「」]*」|『[^『』]*』|„[^„“”]*[“”]|“[^“”]*”|(?<!\w)”(?=\S)[^”]*”|(?<!\w)\"(?=\S)[^\"]*\"|»(?=\S)[^»«]*[»«]|«(?=\S)[^«»]*»|(?<!\w)'(?=\S)[^']*(?:(?<=\w)'(?=\w)[^']*)*'(?!\w)"
 )
 _THAI = re.compile(r"(?<=[฀-๿])\s+(?=\S)|(?<=\S)\s+(?=[฀-๿])")
+_IN_THAI = re.compile("[฀-๿]")
 _NUMBER = re.compile(r"\d[\d.,:/]*\Z")
 _WORDISH = re.compile(r"[^\W\d_]+\Z")
 
@@ -93,10 +96,10 @@ def _token_after(text: str, k: int) -> tuple[str, bool]:
 
 def candidates(text: str, decide) -> Iterator[tuple[Candidate, bool]]:
     """Each candidate in order with its decision; `decide` is asked at once, as a boundary changes what follows."""
-    size = len(text)
+    size, stop = len(text), len(text.rstrip())
     spans = [m.span() for m in _SPAN.finditer(text)] if _QUOTING.search(text) else []
     marks = [(m.start(), m.end()) for m in _TERM.finditer(text)]
-    thai = [m.span() for m in _THAI.finditer(text)] if "฀" <= max(text, default="") and _THAI.search(text) else []
+    thai = [m.span() for m in _THAI.finditer(text)] if _IN_THAI.search(text) else []
     places = [p for p, _ in marks] if spans else []
     deep = (-1, 0)
     begin = at = 0
@@ -117,7 +120,7 @@ def candidates(text: str, decide) -> Iterator[tuple[Candidate, bool]]:
                 nested = deep[1]
             else:
                 closed = "C" if not text[max(begin, spans[at][0] - LONGEST) : spans[at][0]].strip(" \n\t\r–—-") else "c"
-        if j >= size or not text[j:].strip():
+        if j >= stop:
             continue  # the end of the text ends the last sentence
         if space:
             gap, k = "\n" if e - p > 1 or text[p] == "\n" else " ", e
@@ -239,6 +242,29 @@ class Model:
         return [*out, size] if size else out
 
 
+#: What a token is like: its word has a full stop, begins small or with a digit, or large; it ends with a call, or with a letter, digit or comma.
+_DOTTED, _ON, _UPPER, _CALL, _WITHIN = (1 << k for k in range(5))
+
+
+class _Looks(dict):
+    """The word of each token, without marks at either end, and the bits of the token; remembered."""
+
+    def __init__(self):
+        super().__init__()
+        self.bits: dict[str, int] = {}
+
+    def __missing__(self, token: str) -> str:
+        core = token.strip(_OPENERS + ",;:!?…)»”\"'“\0")
+        word = self[token] = core.rstrip(".")
+        bits = 0
+        if word:
+            bits = _DOTTED * core.endswith(".") | _ON * (word[0].islower() or word[0].isdigit()) | _UPPER * word[0].isupper()
+        if token != "\0":
+            bits |= _CALL * (token[-1] in "!?") | _WITHIN * (token[-1].isalnum() or token[-1] == ",")
+        self.bits[token] = bits
+        return word
+
+
 class _Counts:
     """How the words of the texts are written: what tells abbreviations, names and openers of sentences apart."""
 
@@ -247,31 +273,39 @@ class _Counts:
     def __init__(self, texts: list[str] = ()):
         self.dotted, self.goes_on, self.plain, self.inner, self.opening, self.ended = (Counter() for _ in self.KINDS)
         self.least = LEAST
+        self.looks = _Looks()
         self.add(texts)
 
     def add(self, texts: list[str]) -> None:
-        """Count all but `ended`, the tokens before a full stop that is a candidate."""
+        """Count the words of the texts; `ended` are those with a full stop, as they are written."""
+        tokens: list[str] = []
         for text in texts:
-            before, was, stopped = "", None, None
-            for token in text.split():
-                core = token.strip(_OPENERS + ",;:!?…)»”\"'“")
-                word = core.rstrip(".")
-                if not word:
-                    before, was = token, None
-                    continue
-                if core.endswith("."):
-                    self.dotted[word.lower()] += 1
-                    stopped = word.lower()
-                else:
-                    self.plain[word if word[0].isupper() else word.lower()] += 1
-                if before and was is not None and (word[0].islower() or word[0].isdigit()):
-                    self.goes_on[was] += 1
-                if word[0].isupper() and before:
-                    if before[-1] in "!?":
-                        self.opening[word] += 1
-                    elif before[-1].isalnum() or before[-1] == ",":
-                        self.inner[word] += 1
-                before, was, stopped = token, stopped, None
+            tokens += text.split()
+            tokens.append("\0")  # nothing reaches over the end of a text
+        look, known = self.looks, self.looks.bits
+        for token, n in Counter(tokens).items():
+            word = look[token]
+            if not word:
+                continue
+            low = word.lower()
+            if known[token] & _DOTTED:
+                self.dotted[low] += n
+                self.ended[word] += n
+            else:
+                self.plain[word if word[0].isupper() else low] += n
+        bits = np.frombuffer(bytes(map(known.__getitem__, tokens)), np.uint8)
+        before = np.concatenate(([0], bits[:-1])) if len(bits) else bits
+        for counter, at, back in (
+            (self.goes_on, (before & _DOTTED > 0) & (bits & _ON > 0), 1),
+            (self.opening, (before & _CALL > 0) & (bits & _UPPER > 0), 0),
+            (self.inner, (before & _WITHIN > 0) & (bits & _UPPER > 0), 0),
+        ):
+            for k in np.flatnonzero(at).tolist():
+                word = look[tokens[k - back]]
+                counter[word.lower() if back else word] += 1
+        if len(known) > REMEMBER:
+            self.looks.clear()
+            known.clear()
 
     def ordinary(self, prev: str) -> bool:
         """A word that is no abbreviation: it is long or often stands without a full stop, and after its full stop no sentence goes on."""
@@ -280,7 +314,7 @@ class _Counts:
             return False
         if self.dotted[low] >= 4 and self.goes_on[low] > 0.25 * self.dotted[low]:
             return False
-        return len(low) >= 8 or self.plain[low] + self.plain[prev] >= max(2, 0.25 * self.dotted[low])
+        return len(low) >= 8 or self.plain[low] + (self.plain[prev] if prev != low else 0) >= max(2, 0.25 * self.dotted[low])
 
     def name(self, word: str) -> bool:
         return self.inner[word] > 0 and self.plain[word.lower()] <= 0.01 * self.inner[word] and self.inner[word] >= self.opening[word]
@@ -338,16 +372,14 @@ def train(texts: list[str], rounds: int = 150, counts: _Counts | None = None) ->
     `counts` are those of the corpus from which the texts come; without them the texts are the corpus.
     """
     texts = [t for t in texts if t and t.strip()]
-    own, whole = _Counts(texts), counts is not None
-    counts = counts if whole else own
+    own = _Counts(texts)
+    counts = counts or own
     seen: list[Candidate] = []
     for text in texts:
         for c, _ in candidates(text, lambda c: c.nested != 1 and (c.term[0] in "!?" or c.term[0] in _CASELESS_END or (c.term == "." and counts.ordinary(c.prev)))):
             seen.append(c)
     low, all_, up = Counter(), Counter(), Counter()
     for c in seen:
-        if c.term == "." and not whole and c.nested != 1:
-            counts.ended[c.prev] += 1
         if c.term == "." and c.nested != 1 and not counts.ordinary(c.prev):
             after, word = _kind_after(c.next), c.next.rstrip(".,;:!?…)»”\"'")
             all_[c.prev.lower()] += 1
@@ -406,21 +438,26 @@ def _studied(whole_words: bool):
             ]
             return pa.RecordBatch.from_arrays(columns, ["kind", "word", "low", *_Counts.KINDS, "texts", "place"])
 
-        counts, texts, sample = _Counts(), Counter(), []
+        counts, texts, sample, part, size = _Counts(), Counter(), [], [], 0
         for batch in batches:
             for group, place, chosen, segments in zip(*(c.to_pylist() for c in batch.columns)):
                 segments = [t for t in segments or () if t]
-                counts.add(segments)
-                for text in segments:
-                    counts.ended.update(c.prev for c, _ in candidates(text, lambda c: False) if c.term == "." and c.nested != 1)
+                part += segments
+                size += sum(map(len, segments))
+                if size > CHUNK:
+                    counts.add(part)
+                    part, size = [], 0
                 if whole_words:
                     texts.update((group, w) for w in set().union(*map(plain_words, segments)))
                     texts[group, ""] += any(map(str.strip, segments))
                 if chosen:
                     sample += [(group, place, t) for t in segments]
-            if len(counts.plain) + len(counts.dotted) + len(counts.ended) + len(texts) > REMEMBER:
+            counts.add(part)
+            part, size = [], 0
+            if len(counts.plain) + len(counts.dotted) + len(texts) > REMEMBER:
                 yield rows()
-                counts, texts, sample = _Counts(), Counter(), []
+                looks, counts, texts, sample = counts.looks, _Counts(), Counter(), []
+                counts.looks = looks
         yield rows()
 
     return run
