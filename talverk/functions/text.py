@@ -55,6 +55,11 @@ def ttr(words: Column, sentinel: float | None = None) -> Column:
     return F.when(F.size(words) > 0, F.lit(100.0) * F.size(F.array_distinct(words)) / F.size(words)).otherwise(F.lit(sentinel).cast("double"))
 
 
+def ttr_ratio(words: Column) -> Column:
+    """Different words by words, from 0 to 1; null without words."""
+    return ttr(words) / 100.0
+
+
 def sentence_count(text: Column) -> Column:
     """Ends of sentences, at least one for a text that isn't blank."""
     return F.when(text.rlike(r"\S"), F.greatest(F.lit(1), F.regexp_count(text, F.lit(SENTENCE_END))))

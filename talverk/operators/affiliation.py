@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talverk.operators.asof import attributes_at_event_time
+
 # fixed values: what the cascade reports
 MESSAGES = {
     "unknown": "Unknown person",
@@ -25,19 +27,30 @@ def affiliation_on_date(events: DataFrame, affiliations: DataFrame, *, who: str
     The last two are uncertain. Rows with a null who or date have none; join the result with a default for them.
     """
     asked = events.select(F.col(who).alias("who"), F.col(date).alias("date")).where("who is not null and date is not null").distinct()
-    listed = affiliations.select(F.col(entity).alias("_id"), "party", F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(row).alias("_row"))
-    both = asked.join(listed, F.col("who") == F.col("_id"), "left")
-    covers = F.coalesce((F.col("_s") <= F.col("date")) & (F.col("_e") >= F.col("date")), F.lit(False))
-    near = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.abs(F.datediff(c, "date")).alias("d"), F.col("_row"), F.col(c).alias("at"), F.col("party"))))
-    found = both.groupBy("who", "date").agg(
-        F.count("_id").alias("n"),
-        F.count_distinct("party").alias("parties"),
-        F.count_if(covers & F.col("_id").isNotNull()).alias("covering"),
-        F.max(F.when(covers, F.struct("_row", "party"))).alias("last"),
-        F.min(F.struct("_row", "party")).alias("first"),
-        near("_s").alias("by_start"),
-        near("_e").alias("by_end"),
-    )
+    listed = affiliations.select(F.col(entity).alias("_id"), "party", F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(row).cast("bigint").alias("_row")).where("_id is not null")
+    persons = listed.groupBy("_id").agg(F.count("*").alias("n"), F.count_distinct("party").alias("parties"), F.min(F.struct("_row", "party")).alias("first"))
+    # one row for each person and day on which something begins or ends, and the questions between them; so no listing
+    # meets every date of its person, and a person has at most a row a day however often they are listed
+    covers = F.col("_s") <= F.col("_e")
+    marks = [
+        F.struct(F.col("_s").alias("day"), F.struct("_row", "party").alias("s"), F.lit(None).cast("struct<_row:bigint,party:string>").alias("e"), covers.cast("int").alias("delta")),
+        F.struct(F.col("_e").alias("day"), F.lit(None).cast("struct<_row:bigint,party:string>").alias("s"), F.struct("_row", "party").alias("e"), F.lit(0).alias("delta")),
+        F.struct(F.when(covers, F.date_add("_e", 1)).alias("day"), F.lit(None).cast("struct<_row:bigint,party:string>").alias("s"), F.lit(None).cast("struct<_row:bigint,party:string>").alias("e"), F.lit(-1).alias("delta")),
+    ]
+    days = listed.select("_id", F.explode(F.array(*marks)).alias("m")).select("_id", "m.*").where("day is not null").groupBy("_id", "day").agg(F.min("s").alias("s"), F.min("e").alias("e"), F.sum("delta").alias("delta"))
+    questions = asked.select(F.col("who").alias("_id"), F.col("date").alias("day"), F.lit(True).alias("asks"))
+    line = days.withColumn("asks", F.lit(False)).unionByName(questions, allowMissingColumns=True)
+    back = Window.partitionBy("_id").orderBy("day", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("_id").orderBy(F.desc("day"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct("day", f"{c}._row", f"{c}.party"))
+    near = {f"{c}_{k}": F.last(at(c), ignorenulls=True).over(w) for c in "se" for k, w in (("back", back), ("ahead", ahead))}
+    line = line.withColumns(near | {"covering": F.coalesce(F.sum("delta").over(back), F.lit(0))}).where("asks")
+    nearest_of = lambda c: F.least(*[F.when(F.col(f"{c}_{k}").isNotNull(), F.struct(F.abs(F.datediff(f"{c}_{k}.day", "day")).alias("d"), f"{c}_{k}._row", F.col(f"{c}_{k}.day").alias("at"), f"{c}_{k}.party")) for k in ("back", "ahead")])
+    line = line.select(F.col("_id").alias("who"), F.col("day").alias("date"), "covering", nearest_of("s").alias("by_start"), nearest_of("e").alias("by_end"))
+    # the last of the covering listings in row order, by the sweep that finds what wins on a day
+    held = listed.where(covers).select(F.col("_id").alias("entity"), F.lit("last").alias("attribute"), F.col("party").alias("value"), F.col("_row").alias("rank_at"), F.xxhash64("party").alias("rank_tie"), F.col("_s").alias("lo"), F.col("_e").alias("hi"))
+    last = attributes_at_event_time(asked, "who", "date", {"last": held})
+    found = line.join(last, ["who", "date"]).join(persons, F.col("who") == F.col("_id"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = F.struct(F.lit(0).alias("d"), F.col("first._row").alias("_row"), F.lit(None).cast("date").alias("at"), F.col("first.party").alias("party"))
     by_start, by_end = F.coalesce("by_start", first), F.coalesce("by_end", first)
     nearest = F.when(by_start["at"] > by_end["at"], by_start["party"]).otherwise(by_end["party"])
@@ -46,10 +59,10 @@ def affiliation_on_date(events: DataFrame, affiliations: DataFrame, *, who: str
         (unknown, F.lit("unknown"), False, F.lit(MESSAGES["unknown"])),
         (F.col("n") == 0, F.lit("unknown_missing"), False, F.lit(MESSAGES["none"])),
         (F.col("n") == 1, F.col("first.party"), False, F.lit(MESSAGES["one"])),
-        (F.col("covering") == 1, F.col("last.party"), False, F.lit(MESSAGES["perfect"])),
+        (F.col("covering") == 1, F.col("last"), False, F.lit(MESSAGES["perfect"])),
         (F.col("parties") == 1, F.col("first.party"), False, F.lit(MESSAGES["party"])),
         (F.col("covering") == 0, nearest, True, F.concat(F.lit("Estimated closest match ("), F.col("parties").cast("string"), F.lit(" possible parties)"))),
-        (F.lit(True), F.col("last.party"), True, F.lit(MESSAGES["guess"])),
+        (F.lit(True), F.col("last"), True, F.lit(MESSAGES["guess"])),
     ]
     pick = lambda k: _chain([(c[0], c[k] if k != 2 else F.lit(c[2])) for c in cases])
     return found.select("who", "date", pick(1).alias("party"), pick(2).alias("uncertain"), pick(3).alias("message"))
@@ -70,8 +83,17 @@ def overlap_hulls(affiliations: DataFrame, today: str, *, entity: str = "id", st
     spans = affiliations.select(F.col(entity).alias("id"), "party", F.col(start).alias("s"), F.coalesce(end, F.lit(today).cast("date")).alias("e")).where("id is not null and party is not null").distinct()
     earliest = spans.agg(F.min("s")).scalar()
     spans = spans.select("id", "party", F.coalesce(F.col("s"), earliest).alias("s"), "e").where("s < e").distinct()
-    a, b = spans.alias("a"), spans.alias("b")
-    pairs = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.party") < F.col("b.party")) & (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e")))
+    # the time of a person with a party as disjoint spans, so that the pairs to look at are about as many as the spans
+    longest = spans.groupBy("id", "party", "s").agg(F.max("e").alias("e"))
+    own = Window.partitionBy("id", "party").orderBy("s")
+    reach = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    apart = longest.withColumn("_new", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int")).withColumn("_k", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = apart.groupBy("id", "party", "_k").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_k")
+    # spans meet only within the decades they touch
+    decades = F.sequence(F.floor(F.year("s") / 10), F.floor(F.year("e") / 10))
+    cut = merged.withColumn("_decade", F.explode(decades))
+    a, b = cut.alias("a"), cut.alias("b")
+    pairs = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a._decade") == F.col("b._decade")) & (F.col("a.party") < F.col("b.party")) & (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e")))
     return pairs.groupBy(F.col("a.id").alias("id"), F.col("a.party").alias("party_1"), F.col("b.party").alias("party_2")).agg(
         F.min(F.greatest("a.s", "b.s")).alias("overlap_start"), F.max(F.least("a.e", "b.e")).alias("overlap_end")
     )

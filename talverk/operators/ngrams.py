@@ -20,9 +20,10 @@ def stop_condition(word: Column, stop_words: list[str]) -> Column:
     return found
 
 
-def document_ngrams(df: DataFrame, text: str, n: int, carry: list[str], stop_words: list[str] | None = None) -> DataFrame:
-    """(carry…, ngram): every run of n words of each text; runs with a stop word are left out. No run crosses texts."""
-    runs = df.select(*carry, F.explode(ngrams(tokens(F.col(text)), n)).alias("ngram"))
+def document_ngrams(df: DataFrame, text: str, n: int, carry: list[str], stop_words: list[str] | None = None, pattern: str | None = None) -> DataFrame:
+    """(carry…, ngram): every run of n words of each text; runs with a stop word are left out. No run crosses texts. `pattern` is that of a word."""
+    words = tokens(F.col(text), pattern) if pattern else tokens(F.col(text))
+    runs = df.select(*carry, F.explode(ngrams(words, n)).alias("ngram"))
     if stop_words:
         runs = runs.where(~F.exists(F.split("ngram", " "), lambda w: stop_condition(w, stop_words)))
     return runs
@@ -102,20 +103,33 @@ def legacy_tfidf(counts: DataFrame, documents: DataFrame, key: str, text: str, g
     return out.select(group, "ngram", "tf", "df", "total", "tfidf", F.try_divide(F.col("tfidf"), F.col("_size")).alias("corrected"))
 
 
-def used_by(counts: DataFrame, documents: DataFrame, key: str, decade: str, party: str) -> DataFrame:
-    """(ngram, used_by): `1990: M, S 2000: S`, and its older form `1990 - (M, S), 2000 - (S)`, and parties by their first decade."""
-    uses = counts.select(key, "ngram").join(documents.where(F.col(decade).isNotNull() & F.col(party).isNotNull()).select(key, decade, party), key)
-    parties = uses.groupBy("ngram", decade).agg(F.array_sort(F.collect_set(party)).alias("_parties"))
-    first = uses.groupBy("ngram", party).agg(F.min(decade).alias("_first")).groupBy("ngram").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", party))), lambda x: x[party]), ", ").alias("by_appearance"))
-    by_decade = parties.groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct(F.col(decade).alias("d"), F.array_join("_parties", ", ").alias("p")))).alias("_all"))
-    return by_decade.join(first, "ngram").select(
+def used_by(runs: DataFrame, decade: str, party: str, least: int) -> DataFrame:
+    """(ngram, used_by, used_by_old, by_appearance) of the n-grams that occur at least `least` times.
+
+    `1990: M, S 2000: S`, its older form `1990 - (M, S), 2000 - (S)`, and the parties by their first decade. The runs
+    are counted by n-gram, decade and party, and all three come from one aggregation of these; runs without a decade
+    or party count, but aren't used by anyone. N-grams that only such runs have are left out.
+    """
+    counts = runs.groupBy("ngram", decade, party).agg(F.count("*").alias("_n"))
+    use = F.when(F.col(decade).isNotNull() & F.col(party).isNotNull(), F.struct(F.col(decade).alias("d"), F.col(party).alias("p")))
+    all_ = counts.groupBy("ngram").agg(F.sum("_n").alias("_all"), F.array_sort(F.collect_set(use)).alias("_uses")).where((F.col("_all") >= least) & (F.size("_uses") > 0))
+    parties = lambda d: F.array_join(F.transform(F.filter("_uses", lambda u: u["d"] == d), lambda u: u["p"]), ", ")
+    by_decade = F.transform(F.array_distinct(F.transform("_uses", lambda u: u["d"])), lambda d: F.struct(d.cast("string").alias("d"), parties(d).alias("p")))
+    first = F.transform(F.array_distinct(F.transform("_uses", lambda u: u["p"])), lambda p: F.struct(F.array_min(F.transform(F.filter("_uses", lambda u: u["p"] == p), lambda u: u["d"])).alias("d"), p.alias("p")))
+    made = all_.select("ngram", by_decade.alias("_by"), F.array_sort(first).alias("_first"))
+    return made.select(
         "ngram",
-        F.array_join(F.transform("_all", lambda x: F.concat(x["d"].cast("string"), F.lit(": "), x["p"])), " ").alias("used_by"),
-        F.array_join(F.transform("_all", lambda x: F.concat(x["d"].cast("string"), F.lit(" - ("), x["p"], F.lit(")"))), ", ").alias("used_by_old"),
-        "by_appearance",
+        F.array_join(F.transform("_by", lambda x: F.concat(x["d"], F.lit(": "), x["p"])), " ").alias("used_by"),
+        F.array_join(F.transform("_by", lambda x: F.concat(x["d"], F.lit(" - ("), x["p"], F.lit(")"))), ", ").alias("used_by_old"),
+        F.array_join(F.transform("_first", lambda x: x["p"]), ", ").alias("by_appearance"),
     )
 
 
+def containing(counts: DataFrame, part: str) -> DataFrame:
+    """The rows whose n-gram contains the string."""
+    return counts.where(F.contains("ngram", F.lit(part)))
+
+
 def usage(counts: DataFrame, documents: DataFrame, key: str, ngram: str) -> DataFrame:
     """The documents that hold the n-gram, with its count."""
     return counts.where(F.col("ngram") == ngram).join(documents, key)

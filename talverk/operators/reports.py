@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talverk.operators.joins import places_before, with_group_values
+from talverk.session import broadcast_if_small, materialize
+
 
 def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
@@ -54,6 +57,31 @@ def quantiles(df: DataFrame, key: str, value: str, lower: float, upper: float) -
     return keyed(df, [key]).groupBy(key).agg(F.percentile(value, lower).alias("lower"), F.percentile(value, 0.5).alias("median"), F.percentile(value, upper).alias("upper"))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys…, one column for each share): quantiles with linear interpolation, exact also for very many different values.
+
+    Values are counted, sorted by a distributed sort and numbered within their group; only those at the places asked for are
+    gathered, so no group is held by one task. Rows with a null key or value are left out.
+    """
+    counts = keyed(df, [*keys, value]).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    kept = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    before = places_before(kept.groupBy(*keys, "_part").agg(F.sum("_n").alias("_m")), "_part", "_m", keys)
+    totals = kept.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    own = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = kept.withColumn("_in", F.sum("_n").over(own)).join(broadcast_if_small(before), [*keys, "_part"]).join(broadcast_if_small(totals), keys)
+    last = F.col("_before") + F.col("_in") - 1  # the places of a value among all from 0: first to last
+    first = last - F.col("_n") + 1
+    parts = []
+    for name, q in shares.items():
+        place = (F.col("_all") - 1) * F.lit(float(q))
+        low, weight = F.floor(place), place - F.floor(place)
+        for c, at in ((f"{name}_lo", low), (f"{name}_hi", F.ceil(place))):
+            parts.append(F.max(F.when((first <= at) & (at <= last), F.col("_v"))).alias(c))
+        parts.append(F.max(weight).alias(f"{name}_w"))
+    found = placed.groupBy(*keys).agg(*parts)
+    return found.select(*keys, *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_w")).alias(n) for n in shares])
+
+
 def mean_std(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return keyed(df, keys).groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
@@ -99,7 +127,7 @@ def extremes(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
 
 def top_and_bottom(df: DataFrame, keys: list[str], value: str, tie: str, k: int) -> DataFrame:
     """The k rows with the largest (`top`) and the k with the smallest values (`bottom`) of each group."""
-    rows = keyed(df, keys).where(F.col(value).isNotNull())
+    rows = materialize(keyed(df, keys).where(F.col(value).isNotNull()).select(*keys, value, tie))  # figures made once for both rankings
     top = top_k(rows, keys, k, [F.desc(value), F.col(tie)]).withColumn("side", F.lit("top"))
     bottom = top_k(rows, keys, k, [F.col(value), F.col(tie)]).withColumn("side", F.lit("bottom"))
     return top.unionByName(bottom)
@@ -134,7 +162,25 @@ def repeats(df: DataFrame, text: str, tie: str, least: int = 10) -> DataFrame:
 
 
 def with_group_count(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("repeats", F.count("*").over(Window.partitionBy(key)))
+    """df with `repeats`, the rows of the row's group."""
+    return with_group_values(df, key, df.groupBy(key).agg(F.count("*").alias("repeats")))
+
+
+def distinct_with_null(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values, kinds): the different values of each group without null, and with null as a value."""
+    return keyed(df, [key]).groupBy(key).agg(F.count_distinct(value).alias("values"), (F.count_distinct(value) + F.max(F.col(value).isNull().cast("int"))).cast("bigint").alias("kinds"))
+
+
+def nulls_last(column: Column, low: float = -10_000.0) -> Column:
+    """A column to sort by, in which null is a given low number."""
+    return F.coalesce(column, F.lit(low))
+
+
+def panels(df: DataFrame, key: str, period: str, values: list[str], measure: Column) -> DataFrame:
+    """(period, key, value): the measure of each given value of the key in every period that has rows, null where it has none: a panel for each value."""
+    rows = keyed(df, [period, key]).where(F.col(key).isin(values)).groupBy(period, key).agg(measure.alias("value"))
+    frame = rows.select(period).distinct().withColumn(key, F.explode(F.array(*[F.lit(v) for v in values])))
+    return frame.join(rows, [period, key], "left")
 
 
 def with_overall(df: DataFrame, key: str, value: str, label: str) -> DataFrame:

@@ -9,6 +9,7 @@ from talverk.functions import text as X
 from talverk.operators import ngrams as N
 from talverk.operators import reports as R
 from talverk.operators.latest import latest_rows
+from talverk.session import materialize
 from talverk.sources.tables import spread, table
 
 GENDERS = ["man", "woman", "unknown"]
@@ -198,15 +199,23 @@ def mean_decade_order(spark: SparkSession, folder: str) -> DataFrame:
     return R.keyed(speech(spark, folder, "who", "decade"), ["who", "decade"]).groupBy("who").agg(F.avg("decade").alias("mean_decade")).orderBy("mean_decade", "who")
 
 
-@query("with r as (select u_id, text[1] as first from speech_index where text[1] is not null) select md5(first) as hash, count(*) as count, arg_min(first, u_id) as sample from r group by 1 having count(*) >= 2")
+def _firsts(spark: SparkSession, folder: str) -> DataFrame:
+    """(u_id, first): the first segment of each speech that has one."""
+    rows = table(spark, folder, "speech_index").select("u_id", "loaded_at", F.get("text", F.lit(0)).alias("first"))
+    return latest_rows(rows, "u_id", "loaded_at", spread(rows)).select("u_id", "first").where("first is not null")
+
+
+_F = "with r as (select u_id, text[1] as first from (select *, row_number() over (partition by u_id order by loaded_at desc) as n from speech_index where u_id is not null) where n = 1 and text[1] is not null)"
+
+
+@query(_F + " select md5(first) as hash, count(*) as count, arg_min(first, u_id) as sample from r group by 1 having count(*) >= 2")
 def duplicate_hash(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "speech_index").select("u_id", F.get("text", F.lit(0)).alias("first"))
-    return R.repeats(rows, "first", "u_id", 2)
+    return R.repeats(_firsts(spark, folder), "first", "u_id", 2)
 
 
-@query("with r as (select u_id, md5(text[1]) as hash from speech_index where text[1] is not null) select u_id, count(*) over (partition by hash) as repeats from r")
+@query(_F + " select u_id, count(*) over (partition by md5(first)) as repeats from r")
 def repeats_transform(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "speech_index").select("u_id", F.md5(F.get("text", F.lit(0))).alias("hash")).where("hash is not null")
+    rows = materialize(_firsts(spark, folder).select("u_id", F.md5("first").alias("hash")))  # for the count and the rows
     return R.with_group_count(rows, "hash").drop("hash")
 
 
@@ -245,7 +254,8 @@ def ttr_range_decade_party(spark: SparkSession, folder: str) -> DataFrame:
 @query(_W + ", q as (select decade, gender, ttr from t where decade is not null and ttr is not null) select decade, gender, " + ", ".join(f"round(quantile_cont(ttr, {q}), 6) as q{k}" for k, q in enumerate((0, 0.25, 0.5, 0.75, 1))) + " from q group by decade, gender")
 def ttr_distribution(spark: SparkSession, folder: str) -> DataFrame:
     rows = R.keyed(_measured(spark, folder, "decade", "gender"), ["decade", "ttr"])
-    return rows.groupBy("decade", "gender").agg(*[F.round(F.percentile("ttr", q), 6).alias(f"q{k}") for k, q in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))])
+    found = R.exact_quantiles(rows, ["decade", "gender"], "ttr", {f"q{k}": k / 4 for k in range(5)})
+    return found.select("decade", "gender", *[F.round(f"q{k}", 6).alias(f"q{k}") for k in range(5)])
 
 
 @query(_W + ", r as (select decade, u_id, round(ttr, 6) as ttr from t where decade is not null and ttr is not null), a as (select *, row_number() over (partition by decade order by ttr desc, u_id) as rank, 'top' as side from r), b as (select *, row_number() over (partition by decade order by ttr, u_id) as rank, 'bottom' as side from r) select * from (select * from a union all select * from b) where rank <= 50")
@@ -446,7 +456,7 @@ def ngram_used_by_legacy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _used(spark: SparkSession, folder: str) -> DataFrame:
-    return N.used_by(N.document_counts(_runs(spark, folder), "u_id", LEAST), speech(spark, folder, "decade", "party_abbrev"), "u_id", "decade", "party_abbrev")
+    return N.used_by(_runs(spark, folder, "decade", "party_abbrev"), "decade", "party_abbrev", LEAST)
 
 
 @query(_A + " select ngram, corpus_count as in_corpus, cast(0 as bigint) as in_documents from allowed where false")
