@@ -10,7 +10,7 @@ WORD2 = r"[\p{L}\p{N}_]{2,}"
 WORD1 = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 SENTENCE_END = r"[.!?]+(\s|\z)"
-SENTENCE_SPLIT = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s"
+SENTENCE_SPLIT = r"(?<![\p{L}\p{N}_]\.[\p{L}\p{N}_].)(?<![A-Z][a-z]\.)(?<=\.|\?)[\s\x1c-\x1f\x85\p{Z}]"
 
 Range = tuple[int, int | None]
 RANGES: list[Range] = [(20, 200), (201, 500), (501, 1000), (1001, None)]

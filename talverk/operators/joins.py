@@ -80,9 +80,11 @@ def first_containing(df: DataFrame, name: str, paths: DataFrame, path: str) -> D
     theirs that is in fewest paths (shorter names: the name itself), and only these are compared.
     """
 
+    def runs(text: str, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n)))
+
     def grams(text: str, sizes: tuple[int, ...]) -> Column:
-        runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col(text), i, F.lit(n))) for n in sizes]
-        return F.array_distinct(F.concat(*runs))
+        return F.array_distinct(F.concat(*[runs(text, n) for n in sizes]))
 
     names = df.select(F.col(name).alias("_name")).where("_name is not null and _name <> ''").distinct()
     there = materialize(paths.select(F.col(path).alias("_path")).where("_path is not null").distinct().select("_path", F.explode(grams("_path", (1, 2, 3))).alias("_gram")))

@@ -127,7 +127,7 @@ def extremes(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
 
 def top_and_bottom(df: DataFrame, keys: list[str], value: str, tie: str, k: int) -> DataFrame:
     """The k rows with the largest (`top`) and the k with the smallest values (`bottom`) of each group."""
-    rows = materialize(keyed(df, keys).where(F.col(value).isNotNull()).select(*keys, value, tie))  # figures made once for both rankings
+    rows = materialize(keyed(df, keys).where(F.col(value).isNotNull()))  # figures made once for both rankings
     top = top_k(rows, keys, k, [F.desc(value), F.col(tie)]).withColumn("side", F.lit("top"))
     bottom = top_k(rows, keys, k, [F.col(value), F.col(tie)]).withColumn("side", F.lit("bottom"))
     return top.unionByName(bottom)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talverk.functions import text as X
@@ -11,9 +13,11 @@ from talverk.operators import affiliation as A
 from talverk.operators import joins as J
 from talverk.operators import reports as R
 from talverk.operators import tables as TB
+from talverk.operators.latest import latest_rows
 from talverk.plans.speech_queries import S, speech
+from talverk.session import shared_folder
 from talverk.sources import files, tei
-from talverk.sources.tables import table
+from talverk.sources.tables import spread, table
 
 TODAY = "2024-12-31"
 QUERIES, ORACLE = {}, {}
@@ -228,10 +232,40 @@ def positional_join(spark: SparkSession, folder: str) -> DataFrame:
     return J.positional_join(left, right, ["s_suppkey"], ["n_nationkey"]).select("s_suppkey", "n_name")
 
 
-@query("with p as (select distinct p_type as path from part) select n_name, (select min(path) from p where contains(path, n_name[1:3])) as found from nation")
+@query("with p as (select distinct protocol from speech_index where protocol is not null), f as (select distinct file_name from speech_index where file_name is not null) select protocol, (select min(file_name) from f where contains(file_name, protocol)) as found from p")
 def contains_join(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "nation").select("n_name", F.substring("n_name", 1, 3).alias("stem"))
-    return J.first_containing(names, "stem", table(spark, folder, "part"), "p_type").select("n_name", "found")
+    """For each protocol the first file whose name contains its own."""
+    rows = table(spark, folder, "speech_index")
+    return J.first_containing(rows.select("protocol").where("protocol is not null").distinct(), "protocol", rows, "file_name")
+
+
+@query("select file_name, string_split(file_name, '-')[1] as kind, string_split(file_name, '_')[1] as stem from (select distinct file_name from speech_index where file_name is not null)")
+def file_stems(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "speech_index").select("file_name").where("file_name is not null").distinct()
+    return rows.select("file_name", F.split("file_name", "-")[0].alias("kind"), X.file_stem(F.col("file_name")).alias("stem"))
+
+
+@query("with " + SEAT + ' select id, s as start, e as "end" from seat where s <= date \'1985-12-31\' and e >= date \'1985-01-01\'')
+def active_in_year(spark: SparkSession, folder: str) -> DataFrame:
+    return A.active_between(seat(spark, folder), *A.year_days(1985))
+
+
+@query("select 'minister' as name, count(*) as rows from minister where contains(lower(concat_ws(' ', wiki_id, role)), 'minister') having count(*) > 0 union all select 'party_abbreviation', count(*) from party_abbreviation where contains(lower(concat_ws(' ', party, abbreviation)), 'minister') having count(*) > 0 union all select 'person', count(*) from person where contains(lower(concat_ws(' ', wiki_id, born, dead, gender, riksdagen_id)), 'minister') having count(*) > 0")
+def search_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables with rows that hold a word, and how many rows do."""
+    found = A.words_in_tables({n: table(spark, folder, n) for n in ("minister", "party_abbreviation", "person")}, ["Minister"])
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in found.items()]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "name string, rows bigint")
+
+
+@query("with p as (select wiki_id, min(gender) as gender from person where wiki_id is not null group by wiki_id), c as (select role, sum(case when gender = 'man' then 1 end) as man, sum(case when gender = 'woman' then 1 end) as woman from minister m join p using (wiki_id) where role is not null group by role) select role, cast(man as bigint) as man, cast(woman as bigint) as woman, cast(coalesce(abs(man - woman), -10000) as double) as difference, row_number() over (order by coalesce(abs(man - woman), -10000) desc, role) as rank from c")
+def minister_gender_sorted(spark: SparkSession, folder: str) -> DataFrame:
+    """Ministers of each role by gender, sorted by the difference of the two; a role with only one gender has no difference and is last."""
+    persons = A.consolidate_persons(table(spark, folder, "person"), entity="wiki_id").withColumnRenamed("id", "wiki_id")
+    both = table(spark, folder, "minister").where("role is not null").join(persons, "wiki_id")
+    wide = both.groupBy("role").pivot("gender", ["man", "woman"]).agg(F.count(F.lit(1)))
+    wide = wide.withColumn("difference", R.nulls_last(F.abs(F.col("man") - F.col("woman")).cast("double"))).withColumn("_order", -F.col("difference"))
+    return J.numbered(wide, ["_order", "role"], "rank").withColumn("rank", (F.col("rank") + 1).cast("bigint")).drop("_order")
 
 
 @query("select coalesce(a.k, b.k) as nation, customers, suppliers from (select c_nationkey as k, count(*) as customers from customer group by 1) a full join (select s_nationkey as k, count(*) as suppliers from supplier group by 1) b on a.k = b.k")
@@ -253,8 +287,7 @@ def downcast_probe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select 'n_nationkey' as column from nation having bool_and(n_nationkey = rn) union all select 'n_regionkey' from nation having bool_and(n_regionkey = rn)".replace("from nation", "from (select *, row_number() over (order by n_nationkey) - 1 as rn from nation)"))
 def index_like_columns(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "nation").withColumn("row", F.row_number().over(Window.orderBy("n_nationkey")) - 1)
-    return TB.index_like_columns(rows, "row")
+    return TB.index_like_columns(J.numbered(table(spark, folder, "nation"), ["n_nationkey"], "row"), "row")
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as integer) as k from events")
@@ -276,31 +309,149 @@ def speech_islands(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("user_id", "island").agg(F.count("*").alias("events"))
 
 
-@query("with w as (select distinct lower(word) as word from word_count where word is not null and regexp_full_match(word, '[a-z]+')) select word, row_number() over (order by word) - 1 as id from w")
+_WORDS = "with w as (select distinct lower(word) as word, protocol is null as later from word_count where regexp_matches(word, '[^\\s\\p{Z}]'))"
+
+
+def _words(spark: SparkSession, folder: str) -> DataFrame:
+    """(word, protocol): all words in lower case, without null and blank ones."""
+    return table(spark, folder, "word_count").where(F.col("word").rlike(r"[^\s\p{Z}]")).select(F.lower("word").alias("word"), "protocol")
+
+
+@query(_WORDS + " select word, row_number() over (order by word) - 1 as id from (select distinct word from w)")
 def word_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return files.word_ids(table(spark, folder, "word_count").where(F.col("word").rlike(r"\A[a-z]+\z")).select(F.lower("word").alias("word")), "word")
+    """Ids of all different words in lower case, whatever their characters; null and blank ones have none."""
+    return files.word_ids(_words(spark, folder), "word")
+
 
+@query(_WORDS + " select word, row_number() over (order by bool_and(later), word) - 1 as id from w group by word")
+def word_ids_lasting(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all words from a store that first gets those of known protocols and then all: the first keep theirs."""
+    store = files.WordStore(spark, shared_folder(spark))
+    store.add(_words(spark, folder).where("protocol is not null"), "word")
+    return store.add(_words(spark, folder), "word")
 
-@query("with w as (select distinct lower(word) as word from word_count where regexp_matches(word, '[^\\s\\p{Z}]')) select word, row_number() over (order by word) - 1 as id from w")
-def word_ids_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids of all different words in lower case, whatever their characters; null and blank ones have none. word_ids is the part of a to z."""
-    return files.word_ids(table(spark, folder, "word_count").where(F.col("word").rlike(r"[^\s\p{Z}]")).select(F.lower("word").alias("word")), "word")
 
+def _escaped(text: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")  # no XML may hold these
 
-_TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><front><div type="preface"><head>prot-1990--001</head></div><docDate>1990-01-10</docDate></front><body>
-<u who="a" xml:id="u0">No note  before.</u><note type="speaker" xml:id="n1">Herr A:</note><u who="a" xml:id="u1"><seg>One two.</seg></u><u who="a" xml:id="u2">Three</u>
-<note type="speaker" xml:id="n2">Alone</note><note type="speaker" xml:id="n3">Fru B:</note><u who="b" xml:id="u3">Four</u><u who="c" xml:id="u4">Five</u></body></text></TEI>"""
 
+def _protocols(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, xml): a TEI document for each speech, by its id; those without a date lack their last closing tag."""
+    rows = table(spark, folder, "speech_index").select("u_id", "loaded_at", "who", "who_intro", "protocol", "date", "text")
+    rows = latest_rows(rows, "u_id", "loaded_at", spread(rows))
+    parts = F.transform(F.coalesce("text", F.array().cast("array<string>")), lambda t, k: F.concat(F.lit('<u xml:id="'), F.col("u_id"), F.lit("-"), k.cast("string"), F.lit('"'), F.coalesce(F.concat(F.lit(' who="'), _escaped(F.col("who")), F.lit('"')), F.lit("")), F.lit("><seg>"), _escaped(F.coalesce(t, F.lit(""))), F.lit("</seg></u>")))
+    head = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><front><div type="preface"><head>'), _escaped(F.coalesce("protocol", F.lit(""))), F.lit("</head></div><docDate>"), F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("")), F.lit('</docDate></front><body><note type="speaker">'), _escaped(F.coalesce("who_intro", F.lit(""))), F.lit("</note>"))
+    return rows.select(F.col("u_id").alias("file_name"), F.concat(head, F.array_join(parts, "\n"), F.lit("</body></text>"), F.when(F.col("date").isNotNull(), "</TEI>").otherwise("")).alias("xml"))
 
-def _tei(spark: SparkSession) -> DataFrame:
-    return tei.extract_speeches(spark.createDataFrame([("a.xml", _TEI), ("b.xml", "<TEI><u>no who</u>"), ("c.xml", "<TEI><u>no who</u></TEI>")], "file_name string, xml string"))
 
+_LATEST = "with s as (select * from (select *, row_number() over (partition by u_id order by loaded_at desc) as n from speech_index where u_id is not null) where n = 1)"
 
-@query(None)
+
+@query(_LATEST + r""" select u_id as file_name, case when len(coalesce(text, [])) = 0 then 'unknown' else who end as who, protocol, "date", len(coalesce(text, [])) as utterances, coalesce(cast(length(regexp_replace(array_to_string(text, ''), '[^\p{L}\p{N}]', '', 'g')) as bigint), 0) as letters from s where "date" is not null""")
 def tei_extract(spark: SparkSession, folder: str) -> DataFrame:
-    return tei.with_words(_tei(spark)).drop("errors")
+    """The speeches read from a TEI document for each, with the letters and digits of their text."""
+    found = tei.extract_speeches(_protocols(spark, folder)).where("date is not null")
+    letters = F.length(F.regexp_replace(F.array_join("text", ""), r"[^\p{L}\p{N}]", "")).cast("bigint")
+    return found.select("file_name", "who", F.when(F.col("protocol") != "", F.col("protocol")).alias("protocol"), "date", F.size("u_ids").cast("bigint").alias("utterances"), letters.alias("letters"))
 
 
-@query(None)
+@query(_LATEST + """ select u_id as file_name, true as malformed from s where "date" is null""")
 def tei_errors(spark: SparkSession, folder: str) -> DataFrame:
-    return tei.errors_of(_tei(spark))
+    """The documents that are no XML."""
+    errors = tei.errors_of(tei.extract_speeches(_protocols(spark, folder)))
+    return errors.select("file_name", F.startswith("error", F.lit("not well-formed")).alias("malformed"))
+
+
+@query(_LATEST + """ select u_id as file_name, protocol, len(coalesce(text, [])) as utterances from s where "date" is not null""")
+def tei_single_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of single documents by their paths."""
+    rows = _protocols(spark, folder).where(F.endswith("xml", F.lit("</TEI>")))
+    one = tei.single_document(rows, "//head/text()").withColumnRenamed("values", "head")
+    many = tei.single_document(rows, "//u/seg").withColumnRenamed("values", "segs")
+    return one.join(many, "file_name").select("file_name", F.when(F.get("head", F.lit(0)) != "", F.get("head", F.lit(0))).alias("protocol"), F.size("segs").cast("bigint").alias("utterances"))
+
+
+# written and read again
+
+_PLAIN = ["u_id", "who", "protocol", "year", "gender", "n_tokens"]
+_PLAIN_SQL = _LATEST + " select u_id, who, protocol, year, gender, n_tokens from s"
+
+
+def _plain(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "speech_index").select("loaded_at", *_PLAIN)
+    return latest_rows(rows, "u_id", "loaded_at").select(*_PLAIN)
+
+
+@query(_PLAIN_SQL)
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Speeches through a CSV file with its own separator and a byte order mark."""
+    to = shared_folder(spark)
+    files.write_csv(_plain(spark, folder), f"{to}/speeches.csv", "~", mark=True)
+    return files.csv_folder(spark, to, {"speeches": "u_id string, who string, protocol string, year int, gender string, n_tokens int"}, "~")["speeches"]
+
+
+@query(_PLAIN_SQL)
+def groups_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Speeches through a folder for each gender."""
+    to = shared_folder(spark)
+    files.write_groups(_plain(spark, folder), to, ["gender"])
+    return spark.read.parquet(to).select(*_PLAIN)
+
+
+@query(_PLAIN_SQL)
+def cached_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Speeches through a cache that is built once."""
+    path = shared_folder(spark) + "/cache"
+    files.cached(spark, path, lambda: _plain(spark, folder))
+    return files.cached(spark, path, lambda: spark.createDataFrame([], "x int"))
+
+
+@query(_LATEST + " select u_id, text from s")
+def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts through a table that holds lists as JSON."""
+    rows = table(spark, folder, "speech_index").select("u_id", "loaded_at", "text")
+    to = shared_folder(spark)
+    files.with_json_lists(latest_rows(rows, "u_id", "loaded_at").select("u_id", "text")).write.parquet(to)
+    return files.json_lists(spark.read.parquet(to))
+
+
+@query(_LATEST + """ select coalesce(gender, 'unknown') as gender, count(*) as texts from s where "date" between date '1950-01-01' and date '1999-12-31' and text is not null group by 1""")
+def texts_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of a time as files by gender, a line each, counted when read again."""
+    rows = table(spark, folder, "speech_index").select("u_id", "loaded_at", "date", F.coalesce("gender", F.lit("unknown")).alias("gender"), "text")
+    rows = latest_rows(rows, "u_id", "loaded_at").withColumn("text", X.squeeze(F.regexp_replace(F.array_join("text", " "), r"[\n\r]", " ")))
+    to = shared_folder(spark)
+    files.write_texts(rows, to, "text", "date", "gender", "1950-01-01", "1999-12-31")
+    return spark.read.text(to).groupBy("gender").agg(F.count("*").alias("texts"))
+
+
+@query(_LATEST + """ select u_id as file_name from s where "date" is null""")
+def errors_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The errors of documents through a sidecar file."""
+    to = shared_folder(spark)
+    files.write_errors(tei.errors_of(tei.extract_speeches(_protocols(spark, folder))), to)
+    return spark.read.schema("file_name string, u_id string, error string").json(to).select("file_name")
+
+
+@query("with w as (select abbreviation from party_abbreviation where abbreviation is not null and trim(abbreviation) <> '') select trim(abbreviation) as word, count(*) > 0 as there from w group by 1")
+def word_list_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Abbreviations through a list of words in a text file; each word is read once."""
+    to = shared_folder(spark)
+    table(spark, folder, "party_abbreviation").select(F.col("abbreviation").alias("value")).where("value is not null").write.text(to)
+    return spark.createDataFrame([(w, True) for w in files.word_list(spark, to)], "word string, there boolean")
+
+
+@query(_LATEST + " select u_id, protocol, who, year from s where n_tokens > 0")
+def column_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Speeches with words, with a column moved to another place."""
+    return TB.move_column(tei.with_words(_plain(spark, folder)).select("protocol", "u_id", "who", "year"), "u_id", 0)
+
+
+@query(_LATEST + """ select u_id, trim(regexp_replace(lower(who_intro), '[\\s]+', ' ', 'g')) as intro from s where "date" between date '1980-01-01' and date '1989-12-31' and who_intro is not null""")
+def squeezed_intros(spark: SparkSession, folder: str) -> DataFrame:
+    """Introductions of a decade in small letters with single spaces."""
+    rows = table(spark, folder, "speech_index").select("u_id", "loaded_at", "date", "who_intro")
+    rows = latest_rows(rows, "u_id", "loaded_at").where(F.col("date").between(*[F.lit(d).cast("date") for d in A.decade_days(1980)]) & F.col("who_intro").isNotNull())
+    return rows.select("u_id", X.squeeze(F.lower("who_intro")).alias("intro"))

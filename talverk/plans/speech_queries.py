@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talverk.functions import text as X
+from talverk.operators import joins as J
 from talverk.operators import ngrams as N
 from talverk.operators import reports as R
 from talverk.operators.latest import latest_rows
@@ -297,12 +298,76 @@ def punctuation_year(spark: SparkSession, folder: str) -> DataFrame:
     return speech(spark, folder, "year", "text").where("year is not null").groupBy("year").agg(F.sum(X.occurrences(t, ",")).alias("commas"), F.sum(X.occurrences(t, " - ")).alias("dashes"), F.sum(X.occurrences(t, ";")).alias("semicolons"))
 
 
-@query(None)
+_ENDS = r"len(list_filter(range(2, length(t) + 1), lambda i: t[i - 1] in ('.', '?') and regexp_matches(t[i], '[\s\x0B\x1c-\x1f\x{85}\p{Z}]') and not coalesce(regexp_full_match(t[i - 4:i - 1], '[\p{L}\p{N}_]\.[\p{L}\p{N}_].'), false) and not regexp_full_match(t[i - 3:i - 1], '[A-Z][a-z]\.')))"
+_MARKS = ("sentence", "comma", "dash", "semicolon", "divider")
+
+
+@query(f"""with p as (select year, n_tokens, array_to_string(text, ' ') as t from (select *, row_number() over (partition by u_id order by loaded_at desc) as n from speech_index where u_id is not null) where n = 1 and year is not null and text is not null),
+  c as (select year, n_tokens, 1 + {_ENDS} as sentence, length(t) - length(replace(t, ',', '')) as comma, (length(t) - length(replace(t, ' - ', ''))) // 3 as dash, length(t) - length(replace(t, ';', '')) as semicolon from p),
+  y as (select year, cast(sum(n_tokens) as bigint) as tokens, cast(sum(sentence) as bigint) as sentence, cast(sum(comma) as bigint) as comma, cast(sum(dash) as bigint) as dash, cast(sum(semicolon) as bigint) as semicolon, cast(sum(comma + dash + semicolon) as bigint) as divider from c group by year)
+  select year, tokens, {', '.join(f'{m} as {m}s, round(tokens / cast(nullif({m}, 0) as double), 6) as tokens_per_{m}' for m in _MARKS)} from y""")
 def sentence_punct_year(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens a sentence by year, sentences being split by look-behind, which the other engine's expressions lack."""
+    """Sentences and dividers by year, and tokens for each of them; sentences are split by look-behind."""
     rows = table(spark, folder, "speech_index").select("u_id", "loaded_at", "year", "n_tokens", F.array_join("text", " ").alias("text"))
-    rows = latest_rows(rows, "u_id", "loaded_at").where("year is not null and text is not null").withColumn("sentences", F.size(X.split_sentences(F.col("text"))))
-    return rows.groupBy("year").agg(F.sum("sentences").alias("sentences"), F.try_divide(F.sum("n_tokens"), F.sum("sentences")).alias("tokens_per_sentence"))
+    rows = latest_rows(rows, "u_id", "loaded_at", spread(rows)).where("year is not null and text is not null")
+    t = F.col("text")
+    marks = {"sentence": F.size(X.split_sentences(t)), "comma": X.occurrences(t, ","), "dash": X.occurrences(t, " - "), "semicolon": X.occurrences(t, ";")}
+    sums = rows.groupBy("year").agg(F.sum("n_tokens").alias("tokens"), *[F.sum(x).alias(m) for m, x in marks.items()]).withColumn("divider", F.col("comma") + F.col("dash") + F.col("semicolon"))
+    return sums.select("year", "tokens", *[F.col(m).alias(m + "s") for m in _MARKS], *[F.round(F.try_divide("tokens", m), 6).alias(f"tokens_per_{m}") for m in _MARKS])
+
+
+def _ttr_ranges(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """Mean TTR of the speeches of each token range, by the keys."""
+    rows = R.keyed(_measured(spark, folder, "n_tokens", *keys), list(keys)).withColumn("token_range", X.token_range(F.col("n_tokens"))).where("token_range <> 'None'")
+    return rows.groupBy(*keys, "token_range").agg(F.round(F.avg("ttr"), 6).alias("mean"), F.count("ttr").alias("speeches"))
+
+
+def _ttr_ranges_sql(*keys: str) -> str:
+    return _W + f", r as (select *, {_RANGE} as token_range from t) select {', '.join(keys)}, token_range, round(avg(ttr), 6) as mean, count(ttr) as speeches from r where token_range <> 'None' and {' and '.join(f'{k} is not null' for k in keys)} group by all"
+
+
+@query(_ttr_ranges_sql("year", "gender"))
+def ttr_range_year_gender(spark: SparkSession, folder: str) -> DataFrame:
+    return _ttr_ranges(spark, folder, "year", "gender")
+
+
+@query(_ttr_ranges_sql("year", "party_abbrev"))
+def ttr_range_year_party(spark: SparkSession, folder: str) -> DataFrame:
+    return _ttr_ranges(spark, folder, "year", "party_abbrev")
+
+
+@query(_ttr_ranges_sql("year"))
+def ttr_range_year(spark: SparkSession, folder: str) -> DataFrame:
+    return _ttr_ranges(spark, folder, "year")
+
+
+@query(_W + f", r as (select decade, {_RANGE} as token_range, u_id, round(ttr, 6) as ttr from t where decade is not null and ttr is not null), a as (select *, row_number() over (partition by decade, token_range order by ttr desc, u_id) as rank, 'top' as side from r), b as (select *, row_number() over (partition by decade, token_range order by ttr, u_id) as rank, 'bottom' as side from r) select * from (select * from a union all select * from b) where rank <= 50 and token_range <> 'None'")
+def ttr_top_bottom_range(spark: SparkSession, folder: str) -> DataFrame:
+    """The speeches with the highest and the lowest TTR of each decade and token range."""
+    rows = _measured(spark, folder, "decade", "n_tokens").select("decade", X.token_range(F.col("n_tokens")).alias("token_range"), "u_id", F.round("ttr", 6).alias("ttr")).where("token_range <> 'None'")
+    return R.top_and_bottom(rows, ["decade", "token_range"], "ttr", "u_id", 50).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(_W + " select u_id, round(ttr / 100.0, 8) as ratio from t")
+def ttr_ratio_speech(spark: SparkSession, folder: str) -> DataFrame:
+    return speech(spark, folder, "text").select("u_id", F.round(X.ttr_ratio(X.tokens(F.col("text"))), 8).alias("ratio"))
+
+
+@query(S + " select decade, count(distinct who) as values, count(distinct who) + max((who is null)::int) as kinds from speech where decade is not null group by decade")
+def distinct_null_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return R.distinct_with_null(speech(spark, folder, "decade", "who"), "decade", "who")
+
+
+@query(S + " select u_id, case gender when 'man' then 'M' when 'woman' then 'K' else '?' end as code, cast(decade as varchar) || 's' as decade_label from speech")
+def dictionary_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = speech(spark, folder, "gender", "year")
+    return rows.select("u_id", J.looked_up(F.col("gender"), {"man": "M", "woman": "K"}, F.lit("?")).alias("code"), X.decade_label(F.col("year")).alias("decade_label"))
+
+
+@query(S + ", g as (select year, party_abbrev, round(avg(n_tokens), 6) as value from speech where year is not null and party_abbrev in ('S', 'M', 'Nf') group by all) select y.year, p.party_abbrev, g.value from (select distinct year from g) y cross join (values ('S'), ('M'), ('Nf')) p(party_abbrev) left join g on g.year = y.year and g.party_abbrev = p.party_abbrev")
+def party_panels(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean length of the speeches of three parties by year, with a row for each party and year of any."""
+    return R.panels(speech(spark, folder, "year", "party_abbrev", "n_tokens"), "party_abbrev", "year", ["S", "M", "Nf"], F.round(F.avg("n_tokens"), 6))
 
 
 _C = _W + ", c as (select party_abbrev, word, count(*) as count from (select party_abbrev, unnest(words) as word from w where party_abbrev is not null) group by all)"
@@ -383,6 +448,17 @@ def ngram_usage(spark: SparkSession, folder: str) -> DataFrame:
     return N.usage(N.document_counts(_runs(spark, folder), "u_id", LEAST), speech(spark, folder, "who", "year"), "u_id", "trots att varken").select("u_id", "ngram", "cnt", "who", "year")
 
 
+@query(_W + f", g as (select unnest(list_transform(range(1, len(words1) - 1), lambda i: array_to_string(words1[i:i + 2], ' '))) as ngram from w where len(words1) >= 3) select ngram, count(*) as corpus_count from g group by ngram having count(*) >= {LEAST}")
+def trigrams_short_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Trigrams of words of any length."""
+    return N.allowed(N.document_ngrams(speech(spark, folder, "text"), "text", 3, ["u_id"], pattern=X.WORD1), LEAST)
+
+
+@query(_A + " select * from allowed where contains(ngram, 'skatt')")
+def ngram_contains(spark: SparkSession, folder: str) -> DataFrame:
+    return N.containing(N.allowed(_runs(spark, folder), LEAST), "skatt")
+
+
 _PLAIN = ", ".join(f"'{w}'" for w in STOP_WORDS if "*" not in w)
 
 

@@ -64,14 +64,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _write(df: DataFrame) -> str:
-    spark = df.sparkSession
+def _path(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+
+
+def _write(df: DataFrame) -> str:
+    path = _path(df.sparkSession)
     df.write.parquet(path)
     return path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder among the shared checkpoints, which `clean` deletes with the tables of `written`."""
+    path = _path(spark)
+    _written.append((spark, path))
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

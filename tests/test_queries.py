@@ -1,4 +1,4 @@
-"""Queries against their SQL on the smallest tables; verify.py does all of them on larger ones."""
+"""All queries with SQL against it on the smallest tables; verify.py does so on larger ones."""
 
 import os
 from collections import Counter
@@ -10,15 +10,12 @@ import __spark_entry__ as entry
 from verify import plain
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = [
-    "p1_found", "p4_found", "p5_found", "tokens_per_group_decade", "multi_agg_year_gender", "pivot_normalized", "quantiles_year", "share_party", "ttr_speech", "lix_group",
-    "cumulative_words", "ngram_doc_counts", "tfidf_topk", "affiliation_asof", "overlap_hull", "active_members_party", "person_consolidation", "positional_join", "word_ids",
-]
+NAMES = sorted(entry.oracle_sql())
 
 
 def test_catalogue():
     queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(queries) and set(NAMES) <= set(sql)
+    assert set(sql) <= set(queries) and len(sql) > 100
 
 
 @pytest.fixture(scope="module")

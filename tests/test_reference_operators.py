@@ -154,8 +154,150 @@ def test_stream_windows(spark, tmp_path):
 
 
 def test_word_ids_of_all_words(spark, tmp_path):
-    words = ["väg", "Väg", "ÅR", "bro", "1994", "skatt2", "報告", "ภาษี", "à", "à", "a", "b-c", "", " ", " ", None, "bro"]
-    spark.createDataFrame([(w,) for w in words], "word string").write.parquet(str(tmp_path / "word_count.parquet"))
-    got = {r["word"]: r["id"] for r in entry.queries()["word_ids_all"](spark, str(tmp_path)).collect()}
+    words = ["väg", "Väg", "ÅR", "bro", "1994", "skatt2", "報告", "ภาษี", "à", "à", "a", "b-c", "", " ", " ", None, "bro"]
+    spark.createDataFrame([(w, "p") for w in words], "word string, protocol string").write.parquet(str(tmp_path / "word_count.parquet"))
+    got = {r["word"]: r["id"] for r in entry.queries()["word_ids"](spark, str(tmp_path)).collect()}
     different = sorted({w.lower() for w in words if w and w.strip()}, key=str.encode)
     assert got == {w: k for k, w in enumerate(different)}
+
+
+def test_word_store(spark, tmp_path):
+    store = files.WordStore(spark, str(tmp_path / "store"))
+    assert store.ids().count() == 0
+    frame = lambda *words: spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r["word"]: r["id"] for r in store.add(frame("b", "d", "b", None), "w").collect()} == {"b": 0, "d": 1}
+    assert {r["word"]: r["id"] for r in store.add(frame("a", "d", "c"), "w").collect()} == {"b": 0, "d": 1, "a": 2, "c": 3}
+    assert store.add(frame(), "w").count() == 4
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("och\natt\n\n och \n")
+    assert files.word_list(spark, str(tmp_path / "words.txt")) == ["och", "att"]
+    with pytest.raises((RuntimeError, FileNotFoundError)):
+        files.word_list(spark, str(tmp_path / "words.xlsx"))
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "member.csv").write_text("id,born\nQ1,1950\n")
+    (tmp_path / "deep" / "note.txt").write_text("x")
+    frames = files.csv_folder(spark, str(tmp_path), {"member": "id string, born int"})
+    assert list(frames) == ["member"] and frames["member"].first()["born"] == 1950
+    assert files.remote_csv(spark, (tmp_path / "deep" / "member.csv").as_uri()).first()["born"] == "1950"
+    files.write_csv(spark.createDataFrame([("a", 1)], "k string, n int"), str(tmp_path / "t.csv"), ";", mark=True)
+    parts = [p.read_bytes() for p in (tmp_path / "t.csv").glob("part-*") if p.stat().st_size]
+    assert all(p.startswith(b"\xef\xbb\xbfk;n") for p in parts)
+
+
+def test_tables_of_a_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "K string, N int")
+    try:
+        df.write.format("jdbc").options(url=url, dbtable="T1", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    except Exception as e:
+        if "ClassNotFound" in str(e) or "DRIVER" in str(e).upper():
+            pytest.skip("no database driver on the class path")
+        raise
+    found = files.jdbc_tables(spark, url, options={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    assert "T1" in found and sorted(map(tuple, found["T1"].collect())) == [("a", 1), ("b", 2)]
+
+
+def test_workbooks(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, n int")
+    try:
+        import openpyxl
+    except ImportError:
+        with pytest.raises(RuntimeError):
+            files.write_workbook(df, str(tmp_path / "t.xlsx"))
+        return
+    files.write_workbook(df, str(tmp_path / "t.xlsx"), "one")
+    files.write_workbook(df, str(tmp_path / "t.xlsx"), "two")
+    assert openpyxl.load_workbook(tmp_path / "t.xlsx").sheetnames == ["one", "two"]
+    files.write_workbooks(df, str(tmp_path), ["g"])
+    assert (tmp_path / "a.xlsx").exists() and (tmp_path / "b.xlsx").exists()
+
+
+def hot(spark):
+    """Rows of which a key has half, and a null key some."""
+    return spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 50 != 1, F.concat(F.lit("k"), F.col("id") % 97)).alias("k"), F.col("id").alias("v"))
+
+
+def test_hot_keys(spark, tmp_path):
+    df = hot(spark)
+    rows = [(r["k"], r["v"]) for r in df.collect()]
+    sums, counts = {}, {}
+    for k, v in rows:
+        sums[k], counts[k] = sums.get(k, 0) + v, counts.get(k, 0) + 1
+    assert all(r["total"] == sums[r["k"]] for r in J.group_total(df, "k", "v", "total").collect())
+    got = R.with_group_count(df, "k").collect()
+    assert len(got) == len(rows) and all(r["repeats"] == counts[r["k"]] for r in got)
+    assert [r["_place"] for r in J.numbered(df, ["v"], rows=3000).orderBy("v").collect()] == list(range(20_000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as these are far too small to be apart
+    try:
+        files.write_groups(df, str(tmp_path / "g"), ["k"], rows=2000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 20_000 and len(list((tmp_path / "g" / "k=hot").glob("*.parquet"))) > 1
+    best = R.top_and_bottom(df, ["k"], "v", "v", 3).where("k = 'hot'").collect()
+    assert sorted(r["v"] for r in best) == [0, 2, 4, 19_994, 19_996, 19_998]
+    quantiles = {r["k"]: (r["lo"], r["mid"]) for r in R.exact_quantiles(df, ["k"], "v", {"lo": 0.1, "mid": 0.5}).collect()}
+    want = df.where("k is not null").groupBy("k").agg(F.percentile("v", 0.1), F.percentile("v", 0.5)).collect()
+    assert all(quantiles[k] == pytest.approx((a, b)) for k, a, b in want) and len(quantiles) == len(want)
+
+
+def test_hot_person(spark):
+    """One person with most listings: the cascade and the hulls against all pairs."""
+    import random
+
+    rng = random.Random(3)
+    day = lambda: D(1950, 1, 1) + datetime.timedelta(rng.randrange(20_000))
+    rows = []
+    for k in range(300):
+        a, b = sorted((day(), day()))
+        rows.append((rng.choice("ppppq"), rng.choice("abc"), rng.choice([None, a, a, a]), rng.choice([None, b, b, b]), k))
+    rows += [("p", "a", D(2000, 1, 2), D(2000, 1, 1), 300), ("r", "a", D(2000, 1, 1), D(2001, 1, 1), 301), (None, "a", D(2000, 1, 1), None, 302)]
+    asked = list({(who, day()) for who in "pqrx" for _ in range(60)})
+    got = {(r["who"], r["date"]): (r["party"], r["uncertain"], r["message"]) for r in A.affiliation_on_date(spark.createDataFrame(asked, "who string, date date"), spark.createDataFrame(rows, AFF)).collect()}
+    assert len(got) == len(asked)
+    for who, d in asked:
+        own = [r for r in rows if r[0] == who]
+        cover = [r for r in own if r[2] and r[3] and r[2] <= d <= r[3]]
+        near = lambda c: min(((abs((r[c] - d).days), r[4], r[c], r[1]) for r in own if r[c]), default=None)
+        if not own:
+            want = "unknown_missing"
+        elif len(own) == 1 or len({r[1] for r in own}) == 1:
+            want = own[0][1]
+        elif cover:
+            want = max(cover, key=lambda r: r[4])[1]
+        else:
+            s, e = near(2), near(3)
+            want = s[3] if s[2] > e[2] else e[3]
+        assert got[who, d][0] == want, (who, d)
+    spans = [(i, p, s or min(r[2] for r in rows if r[2]), e or D(2024, 12, 31)) for i, p, s, e, _ in rows if i]
+    spans = [x for x in spans if x[2] < x[3]]
+    hulls = {}
+    for i, p, s, e in spans:
+        for j, q, t, f in spans:
+            if i == j and p < q and s < f and t < e:
+                a, b = hulls.get((i, p, q), (D.max, D.min))
+                hulls[i, p, q] = min(a, max(s, t)), max(b, min(e, f))
+    assert {(r["id"], r["party_1"], r["party_2"]): (r["overlap_start"], r["overlap_end"]) for r in A.overlap_hulls(spark.createDataFrame(rows, AFF), "2024-12-31").collect()} == hulls
+
+
+def test_names_in_paths(spark):
+    paths = spark.createDataFrame([(p,) for p in ("in/prot-1.xml", "in/prot-12.xml", "aa", "ab", None, "")], "path string")
+    names = spark.createDataFrame([(n,) for n in ("prot-1", "prot-12", "a", "ab", "xyz", "", None, "b", "b")], "found_name string")
+    got = sorted(((r["found_name"] or "", r["found"]) for r in J.first_containing(names, "found_name", paths, "path").collect()), key=str)
+    assert got == sorted([("prot-1", "in/prot-1.xml"), ("prot-12", "in/prot-12.xml"), ("a", "aa"), ("ab", "ab"), ("xyz", None), ("", None), ("", None), ("b", "ab"), ("b", "ab")], key=str)
+
+
+def test_first_deliveries(spark, tmp_path):
+    rows = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1, 1)), (1, datetime.datetime(2024, 1, 1, 2)), (2, datetime.datetime(2024, 1, 2, 1))], "id long, ts timestamp")
+    rows.write.parquet(str(tmp_path / "s"))
+    stream = ST.first_deliveries(ST.parquet_stream(spark, str(tmp_path / "s"), rows.schema), "id", "ts")
+    stream.writeStream.format("memory").queryName("first").trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r["id"] for r in spark.table("first").collect()) == [1, 2]
+
+
+def test_dictionary(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    assert [r[0] for r in df.select(J.looked_up(F.col("k"), {"a": "x"})).collect()] == ["x", "b", None]
+    assert [r[0] for r in df.select(J.looked_up(F.col("k"), {"a": "x"}, F.lit("?"))).collect()] == ["x", "?", "?"]
+    assert [r[0] for r in df.select(J.looked_up(F.col("k"), {})).collect()] == ["a", "b", None]
