@@ -186,7 +186,7 @@ def search_udf(block: list[tuple[int, str]], run: int, spark):
         flush(part)
         return pa.array(rows, kind)
 
-    return search
+    return search.asNondeterministic()  # else a filter that Spark infers from an explosion would run it a second time
 
 
 def item_blocks(items: DataFrame, text: str, size: int) -> Iterator[list[tuple[int, str]]]:
@@ -216,7 +216,7 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
     named = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     texts = written(named.groupBy("_text").agg(F.collect_set("_item").alias("_items")).withColumn("_n", F.monotonically_increasing_id()))
     rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    parts = [rows.select(F.col(key).alias("_key"), F.explode(search_udf(b, run, spark)(F.col(text))).alias("_s")).select("_key", "_s.*") for b in item_blocks(texts, "_text", block)]
+    parts = [rows.select(F.col(key).alias("_key"), search_udf(b, run, spark)(F.col(text)).alias("_all")).select("_key", F.explode("_all").alias("_s")).select("_key", "_s.*") for b in item_blocks(texts, "_text", block)]
     if not parts:
         parts = [rows.limit(0).select(F.col(key).alias("_key"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("shared"), F.lit(0.0).alias("containment"), F.lit(0.0).alias("estimate"))]
     found = reduce(DataFrame.union, parts).join(texts.select("_n", F.explode("_items").alias("_item")), F.col("n") == F.col("_n"))

@@ -607,6 +607,9 @@ def _reader_udfs(spark: Any, reader: Reader):
 
         return pa.array(by_row(texts, one), pa.list_(_KIND))
 
+    # else a filter that Spark infers from an explosion would run it a second time
+    read = read.asNondeterministic()
+
     @F.arrow_udf("array<string>")
     def rare(texts: pa.Array) -> pa.Array:
         rows = by_row(texts, lambda _, page: {core for *_, core in page.groups() if not own().lexicon.right(core)} if page else set())

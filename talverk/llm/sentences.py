@@ -544,7 +544,7 @@ def ends_udf(model: Model):
             made.append(Model(weights, short))
         return pa.array([[made[0].ends(t) for t in segments or ()] for segments in texts.to_pylist()], pa.list_(pa.list_(pa.int32())))
 
-    return ends
+    return ends.asNondeterministic()  # else a filter that Spark infers from an explosion would run it a second time
 
 
 def sentence_ends(df: DataFrame, key: str, segments: str, model: Model) -> DataFrame:
@@ -553,7 +553,8 @@ def sentence_ends(df: DataFrame, key: str, segments: str, model: Model) -> DataF
     seg counts from 0, also over null and empty segments, which have no rows, as null and empty arrays have none. What
     follows the last terminator of a segment is a sentence too. Rows with the same key have rows of their own.
     """
-    rows = df.select(key, F.posexplode(ends_udf(model)(F.col(segments))).alias("seg", "_e"))
+    found = df.select(key, ends_udf(model)(F.col(segments)).alias("_ends"))
+    rows = found.select(key, F.posexplode("_ends").alias("seg", "_e"))
     return rows.select(key, "seg", F.explode("_e").alias("char_end"))
 
 
@@ -575,5 +576,6 @@ def sentences(df: DataFrame, key: str, segments: str, model: Model) -> DataFrame
                 rows[-1].append([{"char_end": e, "sentence": t[b:e].strip()} for b, e in zip([0, *ends], ends)])
         return pa.array(rows, kind)
 
-    rows = df.select(key, F.posexplode(cut(F.col(segments))).alias("seg", "_s"))
+    found = df.select(key, cut.asNondeterministic()(F.col(segments)).alias("_cut"))
+    rows = found.select(key, F.posexplode("_cut").alias("seg", "_s"))
     return rows.select(key, "seg", F.posexplode("_s").alias("n", "_x")).select(key, "seg", "n", "_x.char_end", "_x.sentence")

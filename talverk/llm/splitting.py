@@ -106,7 +106,7 @@ def pieces_udf(limit: int, overlap: int, folder: str, file: str, model: Model |
             made.append(Splitter(folder, file, state and Model(*state)))
         return pa.array([[dict(zip(names, (*p, t[p[2] : p[3]]))) for p in made[0].split(t, limit, overlap)] for t in texts.to_pylist()], _SPLITS)
 
-    return pieces
+    return pieces.asNondeterministic()  # else a filter that Spark infers from an explosion would run it a second time
 
 
 def split_oversized(df: DataFrame, key: str, text: str, limit: int = 1024, overlap: int = 64, folder: str = TOKENIZERS, file: str = BYTE_BPE_50K, model: Model | None = None) -> DataFrame:
@@ -121,5 +121,5 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 1024, overl
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be below the limit")
-    found = df.select(F.col(key), F.posexplode(pieces_udf(limit, overlap, folder, file, model)(F.col(text))).alias("piece", "_p"))
-    return found.select(key, "piece", "_p.*")
+    found = df.select(F.col(key), pieces_udf(limit, overlap, folder, file, model)(F.col(text)).alias("_pieces"))
+    return found.select(key, F.posexplode("_pieces").alias("piece", "_p")).select(key, "piece", "_p.*")
