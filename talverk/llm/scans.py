@@ -189,10 +189,9 @@ class Lexicon:
                         return [(core[:begin] + v + core[begin + len(part) :], begin + k, score) for v, k, score in found]
                 begin += len(part) + 1
             return []
-        odd = _ODD.search(core)
-        if not odd or _ABBREVIATION.match(core):
+        odd, plain = _ODD.search(core), _INTRUDERS.sub("", core)
+        if not odd or (_ABBREVIATION.match(core) and (len(plain) < 5 or plain not in self.words)):
             return []
-        plain = _INTRUDERS.sub("", core)
         sides = _INTRUDERS.split(core, maxsplit=2)
         if plain != core and len(sides) == 2 and all(self.valid(s) and len(s) > 2 for s in sides) and core[odd.start()] in ".,;:":
             return []  # two words without a space between
@@ -315,21 +314,24 @@ class Page:
             following = lines[speech[n + 1]].split(None, 1)[0] if n + 1 < len(speech) else ""
             last = words[-1]
             broken = bool(following) and len(last) > 1 and last[-1] in BREAKS and (last[-2].isalpha() or last[-2] in "|&ſ016")
+            name = False  # two names with a hyphen of their own, which stays
             if broken:
                 own = last[-1] in HYPHENS and (following.lower() in COORDINATING or following[0].isupper())
+                name = own and last[0].isupper() and following[0].isupper()
                 broken = not own and (following[0].isalpha() or following[0] in "|&ſ0156")
             if held:
                 words[0] = held + words[0]
-            for word in words[:-1] if broken else words:
+            for word in words[:-1] if broken or name else words:
                 self.tokens.append(word)
                 if held:
                     self.places.append([*parts, (k, len(word))])
                     held, parts = "", []
                 else:
                     self.places.append(k)
-            if broken:
-                self.kinds.add((k, "split"))
-                held = words[-1][:-1]
+            if broken or name:
+                held = words[-1] if name else words[-1][:-1]
+                if broken:
+                    self.kinds.add((k, "split"))
                 parts = [*parts, (k, len(held))] if len(words) == 1 else [(k, len(held))]
         self.cores = [w.strip(_EDGES).lower() for w in self.tokens]
 
