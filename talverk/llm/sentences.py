@@ -427,7 +427,8 @@ def _studied(whole_words: bool):
             counters = [getattr(counts, kind) for kind in _Counts.KINDS]
             words = [w for w in set().union(*counters) if len(w) <= LONGEST]
             words = [w for w in words if w.isascii() or not any("\ud800" <= x <= "\udfff" for x in w)]
-            pairs, n, m, k = list(texts.items()), len(words), len(texts), len(sample)
+            pairs = [((g, w), n) for g, own in texts.items() for w, n in own.items()]
+            n, m, k = len(words), len(pairs), len(sample)
             columns = [
                 pa.array(["w"] * n + ["d"] * m + ["s"] * k, pa.string()),
                 pa.array(words + [w for (_, w), _ in pairs] + [t for _, _, t in sample], pa.string()),
@@ -438,7 +439,7 @@ def _studied(whole_words: bool):
             ]
             return pa.RecordBatch.from_arrays(columns, ["kind", "word", "low", *_Counts.KINDS, "texts", "place"])
 
-        counts, texts, sample, part, size = _Counts(), Counter(), [], [], 0
+        counts, texts, sample, part, size = _Counts(), {}, [], [], 0
         for batch in batches:
             for group, place, chosen, segments in zip(*(c.to_pylist() for c in batch.columns)):
                 segments = [t for t in segments or () if t]
@@ -448,15 +449,16 @@ def _studied(whole_words: bool):
                     counts.add(part)
                     part, size = [], 0
                 if whole_words:
-                    texts.update((group, w) for w in set().union(*map(plain_words, segments)))
-                    texts[group, ""] += any(map(str.strip, segments))
+                    own = texts.setdefault(group, Counter())
+                    own.update(plain_words(" ".join(segments), once=True))
+                    own[""] += any(map(str.strip, segments))
                 if chosen:
                     sample += [(group, place, t) for t in segments]
             counts.add(part)
             part, size = [], 0
-            if len(counts.plain) + len(counts.dotted) + len(texts) > REMEMBER:
+            if len(counts.plain) + len(counts.dotted) + sum(map(len, texts.values())) > REMEMBER:
                 yield rows()
-                looks, counts, texts, sample = counts.looks, _Counts(), Counter(), []
+                looks, counts, texts, sample = counts.looks, _Counts(), {}, []
                 counts.looks = looks
         yield rows()
 
@@ -467,9 +469,10 @@ def _studied(whole_words: bool):
 _WORD = re.compile("[฀-๿぀-ヿ㐀-鿿豈-﫿]|[^\\W_฀-๿぀-ヿ㐀-鿿豈-﫿]+")
 
 
-def plain_words(text: str) -> list[str]:
-    """The words that begin with a letter that is no capital."""
-    return [w for w in _WORD.findall(text) if w[0].islower() or (w[0].isalpha() and not w[0].isupper() and not w[0].istitle())]
+def plain_words(text: str, once: bool = False) -> list[str]:
+    """The words that begin with a letter that is no capital; each `once`, or as often as it occurs."""
+    found = _WORD.findall(text)
+    return [w for w in (set(found) if once else found) if w[0].islower() or (w[0].isalpha() and not w[0].isupper() and not w[0].istitle())]
 
 
 class Study(NamedTuple):
