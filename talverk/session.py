@@ -126,6 +126,5 @@ def _bytes(df: DataFrame) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint only where the rows and bytes of a materialized frame prove the bound; else the plain frame."""
     kept = materialize(df)
-    if kept.limit(rows + 1).count() > rows:
-        return kept
-    return F.broadcast(kept) if (kept.agg(F.sum(_bytes(kept))).first()[0] or 0) <= size else kept
+    number, total = kept.agg(F.count("*"), F.coalesce(F.sum(_bytes(kept)), F.lit(0))).first()
+    return F.broadcast(kept) if number <= rows and total <= size else kept
