@@ -505,11 +505,11 @@ class Study(NamedTuple):
             own.ended.update(p for c, _ in candidates(t, lambda c: False) for p in (c.prev, c.next.rstrip(".,;:!?…)»”\"'")))
         lows = sorted({w.lower() for kind in _Counts.KINDS for w in getattr(own, kind) if len(w) <= LONGEST})
         frequent = words.groupBy("low").agg(F.sum("ended").alias("_n")).where(F.col("_n") >= counts.least).select("low")
-        wanted = frequent.union(self.table.sparkSession.createDataFrame([(w,) for w in lows], "low string")).distinct()
-        for row in words.join(wanted, "low", "left_semi").select("word", *_Counts.KINDS).toLocalIterator():
-            for kind in _Counts.KINDS:
-                if row[kind]:
-                    getattr(counts, kind)[row["word"]] = row[kind]
+        wanted = frequent.union(self.table.sparkSession.createDataFrame(pa.table({"low": pa.array(lows, pa.string())})))
+        found = words.join(wanted, "low", "left_semi").select("word", *_Counts.KINDS).toArrow()
+        names = found.column("word").to_pylist()
+        for kind in _Counts.KINDS:
+            getattr(counts, kind).update({w: n for w, n in zip(names, found.column(kind).to_pylist()) if n})
         return counts
 
     def model(self) -> Model:
