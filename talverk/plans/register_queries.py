@@ -396,8 +396,9 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def groups_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Speeches through a folder for each gender."""
     to = shared_folder(spark)
-    files.write_groups(_plain(spark, folder), to, ["gender"])
-    return spark.read.parquet(to).select(*_PLAIN)
+    rows = _plain(spark, folder)
+    files.write_groups(rows, to, ["gender"])
+    return spark.read.schema(rows.schema).parquet(to).select(*_PLAIN)
 
 
 @query(_PLAIN_SQL)
@@ -424,7 +425,7 @@ def texts_by_group(spark: SparkSession, folder: str) -> DataFrame:
     rows = latest_rows(rows, "u_id", "loaded_at").withColumn("text", X.squeeze(F.regexp_replace(F.array_join("text", " "), r"[\n\r]", " ")))
     to = shared_folder(spark)
     files.write_texts(rows, to, "text", "date", "gender", "1950-01-01", "1999-12-31")
-    return spark.read.text(to).groupBy("gender").agg(F.count("*").alias("texts"))
+    return spark.read.schema("value string, gender string").text(to).groupBy("gender").agg(F.count("*").alias("texts"))
 
 
 @query(_LATEST + """ select u_id as file_name from s where "date" is null""")
